@@ -5,6 +5,7 @@ sets share an element of their short prefixes. Set relations save work twice. On
 (size, position) of its sets in order of size, and blocks of sizes and positions that can't reach the
 overlap are skipped whole. On the answers: equal sets take one representative's answers; sets found linked
 form a group that shares its answers, and from then on only pairs between different groups are computed.
+Between groups, a bitmap of each set bounds what two sets can have in common before their texts are read.
 Every pair that could link is thus computed, or follows from computed ones; no list or group is capped.
 """
 
@@ -23,6 +24,8 @@ from fusewright.llm import common as C
 #: Counters of the corpus count, and the blocks in which they are added up. The order of elements depends on
 #: them, the result does not, so their number may be raised for more documents (4 bytes each in a task).
 COUNTERS, BLOCKS = 1 << 22, 64
+#: Bits of a set's bitmap. Each element flips one bit, so sets differ in at least as many elements as bitmaps in bits.
+BITS = 1024
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +81,19 @@ def corpus_counts(docs: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-SETS = "doc_id long, size int, s1 long, s2 long, tokens binary"
+SETS = "doc_id long, size int, s1 long, s2 long, tokens binary, bits binary"
 
 
 def set_rows(docs: DataFrame, words: int, percent: int, ranks) -> DataFrame:
-    """A row for each document: the set's size, two sums that stand for the set, and its prefix, rarest first."""
+    """A row for each document: the set's size, two sums that stand for the set, its prefix, rarest first, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = ranks.value
-        for part, data, offs in C.chunks(batches, "text"):
+        for part, data, offs in C.chunks(batches, "text", rows=2048):
             h, first = shingle_sets(data, offs, words)
             size = np.diff(first)
+            flips = np.repeat(np.arange(len(size)), size) * BITS + (h & np.uint64(BITS - 1)).astype(np.int64)
+            bits = np.packbits((np.bincount(flips, minlength=len(size) * BITS) & 1).astype(bool).reshape(-1, BITS), axis=1)
             key = order[(h >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h & np.uint64((1 << 56) - 1)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(C.mix(h, s))]) for s in (1, 2)]
             tokens = []
@@ -98,7 +103,7 @@ def set_rows(docs: DataFrame, words: int, percent: int, ranks) -> DataFrame:
                 n = b - a
                 tokens.append(own[: n - (percent * n + 99) // 100 + 1 if n else 0].tobytes())
             s1, s2 = (C.as_long(s[first[1:]] - s[first[:-1]]) for s in sums)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int32()), s1, s2, pa.array(tokens, pa.binary())], names=["doc_id", "size", "s1", "s2", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int32()), s1, s2, pa.array(tokens, pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())], names=["doc_id", "size", "s1", "s2", "tokens", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
@@ -148,19 +153,21 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
 FOUND = "kind int, token long, size int, pos int, doc long, other long"
 
 
-def neighbours(percent: int):
-    """First look at the lists (ordered by size): pairs of neighbours (kind 0), and all rows of lists of three or more (kind 1)."""
+def leaders(percent: int):
+    """First look at the lists: pairs of each set with its list's least doc_id (kind 0), and all rows of lists of three or more (kind 1).
+
+    Similar sets are in many lists together; as the leader is mostly the same one, few pairs come of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _lists(batches):
             token, size, pos, doc = (x[k] for k in ("token", "size", "pos", "doc"))
-            same = token[1:] == token[:-1]
-            ok = same & (doc[1:] != doc[:-1]) & may_link(size[:-1], pos[:-1], size[1:], pos[1:], percent)
-            i = np.flatnonzero(ok)
-            a, b = np.minimum(doc[i], doc[i + 1]), np.maximum(doc[i], doc[i + 1])
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-            begin = np.flatnonzero(np.append(True, ~same))
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             count = np.diff(np.append(begin, len(token)))
+            order = np.lexsort((doc, np.repeat(np.arange(len(begin)), count)))
+            lead = np.repeat(order[begin], count)
+            i = np.flatnonzero((doc != doc[lead]) & may_link(size, pos, size[lead], pos[lead], percent))
+            pairs = np.unique(np.stack([doc[lead[i]], doc[i]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
             more = np.flatnonzero(np.repeat(count > 2, count))
             n, m = len(pairs), len(more)
             if n + m:
@@ -173,7 +180,7 @@ def neighbours(percent: int):
 
 
 def across(percent: int):
-    """Second look, with each set's group: all pairs of different groups that can link, block by block.
+    """Second look, with each set's group and bitmap: all pairs of different groups that can link, block by block.
 
     A block is a run of one size in a list, with its least position; blocks whose sizes or least positions
     rule every pair out are skipped.
@@ -181,24 +188,30 @@ def across(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _lists(batches):
-            token = x["token"]
+            token, group = x["token"], x["comp"]
+            bits = np.frombuffer(b"".join(x["bits"].tolist()), np.uint64).reshape(len(token), -1)
             begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             end = np.append(begin[1:], len(token))
-            group = x["comp"]
             mixed = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
+            out = []
             for a, b in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
-                size, pos, doc, comp = x["size"][a:b].astype(np.int64), x["pos"][a:b].astype(np.int64), x["doc"][a:b], group[a:b]
+                size, pos, doc, comp, bit = x["size"][a:b].astype(np.int64), x["pos"][a:b].astype(np.int64), x["doc"][a:b], group[a:b], bits[a:b]
                 start = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
                 stop = np.append(start[1:], b - a)
                 s, p = size[start], np.minimum.reduceat(pos, start)
                 for k in range(len(start)):
-                    reach = k + np.flatnonzero(may_link(s[k], p[k], s[k:], p[k:], percent))
-                    for m in reach.tolist():
+                    for m in (k + np.flatnonzero(may_link(s[k], p[k], s[k:], p[k:], percent))).tolist():
                         for i in range(start[k], stop[k]):
                             lo = max(i + 1, start[m])
                             j = lo + np.flatnonzero((comp[lo : stop[m]] != comp[i]) & may_link(size[i], pos[i], size[lo : stop[m]], pos[lo : stop[m]], percent))
                             if len(j):
-                                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], names=["a", "b"])
+                                apart = np.bitwise_count(bit[j] ^ bit[i]).sum(1).astype(np.int64)
+                                both = size[i] + size[j]
+                                j = j[(100 + percent) * (both - apart) >= 2 * percent * both]
+                                out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1))
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -278,17 +291,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     ranks = spark.sparkContext.broadcast(corpus_counts(docs, words))
     sets = C.materialize(set_rows(docs, words, percent, ranks), "sets")
     some = sets.where("size > 0")
-    classes = some.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens"))
+    classes = some.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens"), F.min_by("bits", "doc_id").alias("bits"))
     classes = C.materialize(classes, "classes")
     member = some.select("doc_id", "s1", "s2", "size").join(classes.select("s1", "s2", "size", "rep"), ["s1", "s2", "size"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     lists = postings(classes.select(F.col("rep").alias("doc_id"), "size", "tokens")).repartition("token").sortWithinPartitions("token", "size", "doc")
-    found = C.materialize(lists.mapInArrow(neighbours(percent), FOUND), "lists")
+    found = C.materialize(lists.mapInArrow(leaders(percent), FOUND), "lists")
     pairs = C.materialize(found.where("kind = 0").select(F.col("doc").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
     first = C.materialize(verified(pairs, docs, words, percent), "links")
     linked = first.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = components(linked)
     open_lists = found.where("kind = 1").join(groups, found["doc"] == groups["u"], "left").select("token", "size", "pos", "doc", F.coalesce("v", "doc").alias("comp"))
-    rest = open_lists.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(across(percent), "a long, b long")
+    open_lists = C.materialize(open_lists, "open")
+    mixed = open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    bits = classes.select(F.col("rep").alias("doc"), "size", "bits")
+    rest = open_lists.join(mixed, "token", "left_semi").join(bits, ["doc", "size"]).select("token", "size", "pos", "doc", "comp", "bits")
+    rest = rest.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(across(percent), "a long, b long")
     rest = C.materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     second = C.materialize(verified(rest, docs, words, percent), "links").where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     final = components(groups.union(second).union(member))
