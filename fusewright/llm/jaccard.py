@@ -216,10 +216,58 @@ def across(percent: int):
     return run
 
 
+def id_filter(ids: DataFrame, least: int = 1 << 16, most: int = 1 << 28) -> np.ndarray:
+    """A Bloom filter of a column of ids: 16 bits an id, four of them set, never more than `most` bits."""
+    bits = least
+    n = ids.count()
+    while bits < most and bits < 16 * n:
+        bits *= 2
+    pieces = 16
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(bits, bool)
+        for b in batches:
+            for place in bloom_places(b.column(0).to_numpy(), bits):
+                have[place] = True
+        packed = np.packbits(have).reshape(pieces, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["piece", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("piece").to_pylist(), b.column("bits"), strict=True):
+                own = np.frombuffer(x.as_py(), np.uint8)
+                total[k] = total[k] | own if k in total else own
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros((pieces, bits // 8 // pieces), np.uint8)
+    for r in ids.mapInArrow(part, "piece int, bits binary").repartition("piece").mapInArrow(join, "piece int, bits binary").collect():
+        out[r["piece"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def bloom_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(C.mix(ids.astype(np.uint64), s) & np.uint64(bits - 1)).astype(np.int64) for s in range(11, 15)]
+
+
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets, from their whole texts, reach the similarity, each with link true or false."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = C.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+    """Pairs (a, b) whose sets, from their whole texts, reach the similarity, each with link true or false.
+
+    Texts of documents in no pair are left out by a filter before the shuffle.
+    """
+    ids = C.materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    have = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = have.value
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for place in bloom_places(b.column("doc_id").to_numpy(), 8 * len(bits)):
+                keep &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(keep))
+
+    likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(maybe, "doc_id long, text string")
+    texts = C.materialize(likely.join(ids, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
     x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text"))
     y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text2"))
 
