@@ -19,12 +19,55 @@ from pyspark.sql import functions as F
 
 from fusewright.llm import common as C
 
-SEGMENTS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-SEGMENTS_DDL = "bucket long, packed binary, doc_id long, start long, n long"
+SEGMENTS_DDL = "bucket int, packed binary, doc_id long, start int, n int"
 SPANS_DDL = "doc_id long, s long, e long"
 
 
+class Packer:
+    """Packs strings one by one with zstd and a dictionary of common strings, so that short ones shrink too."""
+
+    def __init__(self, common: bytes):
+        self.common = common
+        self.both = None
+
+    def __getstate__(self):
+        return {"common": self.common, "both": None}
+
+    def codecs(self):
+        if self.both is None:
+            import zstandard as Z
+
+            d = Z.ZstdCompressionDict(self.common) if self.common else None
+            p = Z.ZstdCompressionParameters.from_level(3, format=Z.FORMAT_ZSTD1_MAGICLESS, write_content_size=1, write_checksum=0, write_dict_id=0)
+            if d:
+                d.precompute_compress(compression_params=p)
+            self.both = Z.ZstdCompressor(compression_params=p, dict_data=d), Z.ZstdDecompressor(dict_data=d, format=Z.FORMAT_ZSTD1_MAGICLESS)
+        return self.both
+
+    def pack(self, strings: list[bytes]) -> list[bytes]:
+        return [*map(self.codecs()[0].compress, strings)]
+
+    def unpack(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        strings = [*map(self.codecs()[1].decompress, column.to_pylist())]
+        offs = np.zeros(len(strings) + 1, np.int64)
+        np.cumsum([*map(len, strings)], out=offs[1:])
+        return np.frombuffer(b"".join(strings), np.uint8), offs
+
+
+def packer(docs: DataFrame, texts: int = 300) -> Packer:
+    """The dictionary comes from the beginnings of a few texts: it decides how small strings get, nothing else."""
+    import zstandard as Z
+
+    some = [r[0].encode() for r in docs.where("text is not null").select(F.substring("text", 1, 3000)).limit(texts).collect()]
+    strings = [x[i : i + 150] for x in some for i in range(0, len(x), 150)]
+    try:
+        return Packer(Z.train_dictionary(1 << 16, strings).as_bytes())
+    except Z.ZstdError:  # too few
+        return Packer(b"")
+
+
 def whole_windows(firsts: np.ndarray, n: int, k: int) -> np.ndarray:
     """True where k units from there on lie in one document; firsts: each document's first unit, and the end."""
     left = np.repeat(firsts[1:], np.diff(firsts)) - np.arange(n)
@@ -49,7 +92,12 @@ def super_kmers(grams: np.ndarray, valid: np.ndarray, k: int, m: int) -> tuple[n
     return first, last, least[first]
 
 
-def cut(k: int, m: int, words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def short(keys: np.ndarray) -> np.ndarray:
+    """A bucket's number: 32 bits of the key. Keys that share it share a bucket, where windows are told apart anyway."""
+    return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def cut(k: int, m: int, words: bool, packs: Packer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map side: documents to super-k-mers. A row without packed string is a run that is known to start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +132,11 @@ def cut(k: int, m: int, words: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
             a = starts[first[keep]] if words else first[keep]
             b = ends[last[keep] + k - 1] if words else last[keep] + k
             raw = data.tobytes()
-            packed = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
-            yield C.batch(SEGMENTS, C.as_long(key[keep]), packed, C.as_long(doc[keep]), C.as_long(begin[keep]), C.as_long(count[keep]))
+            packed = pa.array(packs.pack([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), pa.binary())
+            yield C.batch(SEGMENTS, short(key[keep]), packed, C.as_long(doc[keep]), begin[keep], np.zeros(len(keep), np.int32))
             if len(known):
                 spread = C.mix(doc[known].astype(np.uint64))
-                yield C.batch(SEGMENTS, C.as_long(spread), pa.nulls(len(known), pa.binary()), C.as_long(doc[known]), C.as_long(begin[known]), C.as_long(count[known]))
+                yield C.batch(SEGMENTS, short(spread), pa.nulls(len(known), pa.binary()), C.as_long(doc[known]), begin[known], count[known])
 
     return run
 
@@ -103,7 +151,7 @@ def spans_of(flag: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarr
     return C.batch(SPANS, C.as_long(doc[a]), C.as_long(start[a]), C.as_long(start[b] + k))
 
 
-def settle(k: int, identify: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def settle(k: int, packs: Packer, identify: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Bucket side. Rows come ordered by bucket, document and start, so the first of equal windows is the earliest.
 
     identify: packed strings to two hashes for each window, and each string's first window. What is
@@ -125,11 +173,11 @@ def settle(k: int, identify: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray
                 if not b.num_rows:
                     continue
             bucket = b.column("bucket").to_numpy()
-            data, offs = C.utf8(b.column("packed"))
+            data, offs = packs.unpack(b.column("packed"))
             h1, h2, lead = identify(data, offs)
             row = np.repeat(np.arange(b.num_rows), np.diff(lead))
             doc = b.column("doc_id").to_numpy()[row]
-            start = b.column("start").to_numpy()[row] + (np.arange(len(row)) - lead[row])
+            start = b.column("start").to_numpy().astype(np.int64)[row] + (np.arange(len(row)) - lead[row])
             if open_bucket != bucket[0]:
                 carry = [x[:0] for x in carry]
             old = len(carry[0])
@@ -171,8 +219,9 @@ def identify_words(k: int):
 def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolve) -> DataFrame:
     """(doc_id, s, e): spans of units covered by windows that also start earlier, written in the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    cut_rows = rows.mapInArrow(cut(k, m, words), SEGMENTS_DDL)
-    spans = cut_rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(resolve, SPANS_DDL)
+    packs = packer(rows)
+    cut_rows = rows.mapInArrow(cut(k, m, words, packs), SEGMENTS_DDL)
+    spans = cut_rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(resolve(packs), SPANS_DDL)
     return C.materialize(spans, "spans")
 
 
@@ -218,7 +267,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 4, layout: bo
     document: what one loses, the others lose at the same place, and a repeated row is no earlier start.
     Other columns pass unchanged; columns with the names of the new ones are replaced.
     """
-    spans = repeated_spans(docs, window, gram, True, settle(window, identify_words(window)))
+    spans = repeated_spans(docs, window, gram, True, lambda packs: settle(window, packs, identify_words(window)))
 
     def make(text, spans_):
         words = text.encode().split() if text is not None else []

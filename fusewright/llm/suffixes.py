@@ -49,7 +49,7 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def resolve(k: int, m: int):
+def resolve(k: int, packs: R.Packer):
     """Bucket side: phrases in order of bucket, document and start, to spans of bytes that start earlier elsewhere."""
 
     def settle(bucket, data, offs, doc, start, old):
@@ -68,16 +68,18 @@ def resolve(k: int, m: int):
         windows = np.diff(offs) - k + 1
         at = np.flatnonzero(again)
         yield C.batch(R.SPANS, C.as_long(doc[at]), C.as_long(start[at]), C.as_long(start[at] + windows[at] - 1 + k))
-        # The dictionary. A phrase alone in its bucket, with its trigger once, has no equal windows.
+        # The dictionary. Only phrases with a window whose hash another window shares can have equal windows.
         entry = np.flatnonzero(first == np.arange(n))
-        near = np.zeros(len(entry), bool)
-        same = bucket[entry][1:] == bucket[entry][:-1]
-        near[1:] |= same
-        near[:-1] |= same
-        row = np.repeat(np.arange(n), np.diff(offs))
-        hit = np.flatnonzero(C.rolling_hash(sums, m) == bucket.view(np.uint64)[row[: max(0, len(data) - m + 1)]])
-        near |= np.bincount(row[hit], minlength=n)[entry] > 1
-        pick = entry[near]
+        count = windows[entry]
+        owner = np.repeat(entry, count)
+        at = np.repeat(offs[entry] - (np.cumsum(count) - count), count) + np.arange(len(owner))
+        hashed = C.span_hash(sums, at, at + k)
+        order = np.argsort(hashed)
+        same = hashed[order[1:]] == hashed[order[:-1]]
+        near = np.zeros(n, bool)
+        near[owner[order[1:][same]]] = True
+        near[owner[order[:-1][same]]] = True
+        pick = np.flatnonzero(near)
         if len(pick):
             raw = np.concatenate([data[offs[i] : offs[i + 1]] for i in pick.tolist()])
             firsts = np.concatenate([[0], np.cumsum((offs[1:] - offs[:-1])[pick])])
@@ -103,8 +105,8 @@ def resolve(k: int, m: int):
         def step():
             nonlocal held, rows, carried
             t = pa.Table.from_batches(held).combine_chunks()
-            data, offs = C.utf8(t.column("packed"))
-            bucket, doc, start = (t.column(c).to_numpy() for c in ("bucket", "doc_id", "start"))
+            data, offs = packs.unpack(t.column("packed"))
+            bucket, doc, start = (t.column(c).to_numpy().astype(np.int64) for c in ("bucket", "doc_id", "start"))
             yield from settle(bucket, data, offs, doc, start, carried)
             held = t.take(pa.array(state["open"])).to_batches()
             carried = len(state["open"])
@@ -132,7 +134,7 @@ def resolve(k: int, m: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, trigger: int = 12) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, trigger: int = 10) -> DataFrame:
     """The rows of docs plus n_bytes, n_removed, n_spans and kept (binary: the UTF-8 bytes that stay).
 
     Each byte covered by a `length`-byte string that also starts earlier (smaller doc_id, or the same
@@ -140,7 +142,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, trigger: int = 12) -> DataF
     empty. Rows without doc_id lose nothing. Rows that share a doc_id count as one document. Other
     columns pass unchanged; columns with the names of the new ones are replaced.
     """
-    spans = R.repeated_spans(docs, length, trigger, False, resolve(length, trigger))
+    spans = R.repeated_spans(docs, length, trigger, False, lambda packs: resolve(length, packs))
 
     def make(text, spans_):
         raw = (text or "").encode()
