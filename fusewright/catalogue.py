@@ -1,9 +1,28 @@
 """The engine's registered queries and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from functools import partial
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from fusewright.operators import relational, text_vector
+from fusewright.plans import dialect
+
+
+def _relational(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return dialect.run(spark, sf_dir, relational.QUERIES[name])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored anomalies of the last hour against a week's baselines, without the cut."""
+    return _relational(spark, sf_dir, "anomaly_zscore_all")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: partial(_relational, name=n) for n in relational.QUERIES} | text_vector.FRAMES
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: dialect.render(t) for n, t in relational.QUERIES.items()} | text_vector.oracle()
