@@ -8,10 +8,10 @@ white-space-free words in turn. Each different word goes through the tokenizers
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from fusewright.llm import common as C
 
 #: Words that a worker remembers before it starts afresh: bounds its memory, not what is encoded.
-WORDS_KEPT = 1_000_000
-_PLAIN_END = re.compile(rb"[A-Za-z0-9][.,]\Z")
+WORDS_KEPT = 2_000_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,88 +31,116 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values) -> None:
+        values = np.asarray(values, self.room.dtype)
+        if self.n + len(values) > len(self.room):
+            room = np.zeros(2 * max(len(self.room), self.n + len(values)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class WordTable:
-    """Ids and character spans of the words met so far."""
+    """Ids, and if asked character spans, of the words met so far, by a 64-bit hash of their bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spans: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
+        encoder = Tokenizer.from_file(path)
+        self.encode = encoder.encode_batch if spans else encoder.encode_batch_fast
+        self.with_spans = spans
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-        self.spans: list[list[tuple[int, int]]] = []
-
-    def add(self, words: set[bytes]) -> None:
-        """Takes up words. A word of ASCII letters has the ids of its lower case, and one full stop or
-        comma after a letter or digit is a token of its own, so neither needs another call."""
-        index, plain, derived = self.index, {}, []
-        for w in words:
-            if w in index:
-                continue
-            base = w[:-1] if _PLAIN_END.search(w) else w
-            base = base.lower() if base.isalpha() else base
-            if base != w:
-                derived.append((w, base))
-            if base not in index:
-                plain[base] = None
-        for mark in (b".", b","):
-            if derived and mark not in index:
-                plain[mark] = None
-        fresh = list(plain)
-        for w, e in zip(fresh, self.encoder.encode_batch([x.decode() for x in fresh], add_special_tokens=False), strict=True):
-            index[w] = len(self.ids)
-            self.ids.append(e.ids)
-            self.spans.append(e.offsets)
-        for w, base in derived:
-            ids, spans = self.ids[index[base]], self.spans[index[base]]
-            if len(w) > len(base):
-                n = len(base.decode())
-                ids = ids + self.ids[index[w[-1:]]]
-                spans = spans + [(n, n + 1)]
-            index[w] = len(self.ids)
-            self.ids.append(ids)
-            self.spans.append(spans)
-
-
-_TABLES: dict[str, WordTable] = {}
+        self.place: dict[int, int] = {}
+        self.first, self.count, self.ids, self.spans = Grown(np.int64), Grown(np.int64), Grown(np.uint32), Grown(np.int32)
+
+    def take(self, hashes: list[int], words: list[bytes]) -> None:
+        """Encodes words and keeps what comes of them under their hashes."""
+        done = self.encode([w.decode() for w in words], add_special_tokens=False)
+        ids = [e.ids for e in done]
+        self.keep(hashes, ids, [e.offsets for e in done] if self.with_spans else [])
+
+    def keep(self, hashes: list[int], ids: list[list[int]], spans: list) -> None:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.place.update(zip(hashes, range(self.first.n, self.first.n + len(hashes)), strict=True))
+        self.first.add(self.ids.n + np.cumsum(n) - n)
+        self.count.add(n)
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
+        if self.with_spans:
+            self.spans.add(np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int32, 2 * int(n.sum())))
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each word. Words not met before are encoded, but for a full stop or comma after a
+        letter or digit at a word's end, which is a token of its own, so that the rest's ids serve both."""
+        sums = C.prefix_sums(data.astype(np.uint64) + np.uint64(1))
+        unique, at, back = np.unique(C.span_hash(sums, starts, ends), return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        if len(self.place) + len(keys) > WORDS_KEPT and self.place:
+            self.clear()
+        place = self.place
+        miss = [i for i, k in enumerate(keys) if k not in place]
+        if miss:
+            raw = data.tobytes()
+            s, e = starts[at[miss]], ends[at[miss]]
+            cut = (e - s > 1) & np.isin(data[e - 1], (0x2E, 0x2C)) & _ALNUM[data[np.maximum(e - 2, 0)]]
+            own = np.where(cut, e - 1, e)
+            base = C.span_hash(sums, s, own).tolist()
+            fresh = {h: raw[a:b] for h, a, b in zip(base, s.tolist(), own.tolist(), strict=True) if h not in place}
+            marks = []
+            for mark in (b".", b","):
+                d = np.frombuffer(mark, np.uint8)
+                marks.append(int(C.span_hash(C.prefix_sums(d.astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([1]))[0]))
+                if marks[-1] not in place:
+                    fresh[marks[-1]] = mark
+            self.take([*fresh], [*fresh.values()])
+            ids, spans, hashes = [], [], []
+            for j in np.flatnonzero(cut).tolist():
+                p, q = place[base[j]], place[marks[0] if data[e[j] - 1] == 0x2E else marks[1]]
+                a, n, b = int(self.first.room[p]), int(self.count.room[p]), int(self.first.room[q])
+                ids.append([*self.ids.room[a : a + n].tolist(), int(self.ids.room[b])])
+                hashes.append(keys[miss[j]])
+                if self.with_spans:
+                    size = len(raw[s[j] : own[j]].decode())
+                    spans.append([*self.spans.room[2 * a : 2 * (a + n)].reshape(-1, 2).tolist(), [size, size + 1]])
+            self.keep(hashes, ids, spans)
+        return np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[back]
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_TABLES: dict[tuple[str, bool], WordTable] = {}
 
 
 def encode(data: np.ndarray, offs: np.ndarray, path: str, spans: bool = False):
-    """Ids of the documents of a chunk, each document's first token, and if asked each token's span in code points of its document."""
-    if path not in _TABLES:
-        _TABLES[path] = WordTable(path)
-    table = _TABLES[path]
-    if len(table.ids) > WORDS_KEPT:
-        table.clear()
-    raw = data.tobytes()
-    words = [w for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for w in raw[a:b].split()]
-    table.add(set(words))
-    index = np.fromiter(map(table.index.__getitem__, words), np.int64, len(words))
-    starts, _, first_word = C.word_spans(data, offs)
-    return _gather(table, index, starts, first_word, data, offs, spans)
-
-
-def _gather(table: WordTable, index, starts, first_word, data, offs, spans: bool):
-    # Only the tables' rows that this chunk needs are gathered, so a large table costs nothing here.
-    used, at = np.unique(index, return_inverse=True)
-    ids = [table.ids[i] for i in used.tolist()]
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    first = np.cumsum(n) - n
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
-    count = n[at]
+    """Ids of the documents of a chunk, each document's first token, and if asked each token's span in code points of its document.
+
+    The vocabulary is lower-case, so A-Z are lowered first, but not where a special token's text could come of it.
+    """
+    if (path, spans) not in _TABLES:
+        _TABLES[path, spans] = WordTable(path, spans)
+    table = _TABLES[path, spans]
+    low = data if b"<|" in data.tobytes() else C.lower_ascii(data)
+    starts, ends, first_word = C.word_spans(low, offs)
+    word = table.lookup(low, starts, ends)
+    first, count = table.first.room[word], table.count.room[word]
     token_of = np.concatenate([[0], np.cumsum(count)])
-    where = np.repeat(first[at] - token_of[:-1], count) + np.arange(token_of[-1])
-    out = flat[where], token_of[first_word]
+    where = np.repeat(first - token_of[:-1], count) + np.arange(token_of[-1])
+    out = table.ids.room[where], token_of[first_word]
     if not spans:
         return out
-    both = np.fromiter((i for j in used.tolist() for s in table.spans[j] for i in s), np.int64, 2 * int(n.sum())).reshape(-1, 2)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first_word))
     base = np.repeat(points[starts] - points[offs[doc]], count)
+    both = table.spans.room.reshape(-1, 2)
     return *out, base + both[where, 0], base + both[where, 1]
 
 
