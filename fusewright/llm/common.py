@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -33,13 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows: with whole texts in them, the default's take too much of an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() wrote without keep: for when what was made of them is itself written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files of the write are released as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not keep:
+        _WRITTEN.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -82,6 +102,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[o[0] : o[-1]], o - o[0]
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system; a reused worker would hold it while others run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, rows: int = 1 << 62) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches whose texts take about `limit` bytes, of `rows` rows at most, with their bytes and offsets."""
     for batch in batches:
@@ -93,6 +120,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1), at + rows)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+        del data, offs
+    trim()
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -59,7 +59,7 @@ def corpus_counts(docs: DataFrame, words: int) -> np.ndarray:
         have = np.zeros(COUNTERS, np.uint32)
         for _, data, offs in C.chunks(batches, "text"):
             h, _ = shingle_sets(data, offs, words)
-            have += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(have, (h >> np.uint64(42)).astype(np.int64), np.uint32(1))
         if have.any():
             parts = have.reshape(BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["block", "counts"])

@@ -199,6 +199,7 @@ def settle(k: int, packs: Packer, identify: Callable[[np.ndarray, np.ndarray], t
             stays = np.concatenate([stays, (bucket == open_bucket)[row]])
             kept = kept[stays[kept]]
             carry = [h1[kept], h2[kept], doc[kept], start[kept]]
+        C.trim()
 
     return run
 

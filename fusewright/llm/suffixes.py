@@ -130,6 +130,8 @@ def resolve(k: int, packs: R.Packer):
                     yield from step()
         if rows:
             yield from step()
+        held = []
+        C.trim()
 
     return run
 

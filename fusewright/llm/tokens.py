@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fusewright.llm import common as C
 
 #: Words that a worker remembers before it starts afresh: bounds its memory, not what is encoded.
-WORDS_KEPT = 2_000_000
+WORDS_KEPT = 700_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,8 +60,15 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.first, self.count, self.ids, self.spans = Grown(np.int64), Grown(np.int64), Grown(np.uint32), Grown(np.int32)
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.count, self.ids, self.spans = Grown(np.int32), Grown(np.int32), Grown(np.uint32), Grown(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those not met."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.places[at], -1)
 
     def take(self, hashes: list[int], words: list[bytes]) -> None:
         """Encodes words and keeps what comes of them under their hashes."""
@@ -71,7 +78,11 @@ class WordTable:
 
     def keep(self, hashes: list[int], ids: list[list[int]], spans: list) -> None:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.place.update(zip(hashes, range(self.first.n, self.first.n + len(hashes)), strict=True))
+        new = np.array(hashes, np.uint64)
+        order = np.argsort(new)
+        at = np.searchsorted(self.keys, new[order])
+        self.keys = np.insert(self.keys, at, new[order])
+        self.places = np.insert(self.places, at, (self.first.n + order).astype(np.int32))
         self.first.add(self.ids.n + np.cumsum(n) - n)
         self.count.add(n)
         self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())))
@@ -83,36 +94,33 @@ class WordTable:
         letter or digit at a word's end, which is a token of its own, so that the rest's ids serve both."""
         sums = C.prefix_sums(data.astype(np.uint64) + np.uint64(1))
         unique, at, back = np.unique(C.span_hash(sums, starts, ends), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(self.place) + len(keys) > WORDS_KEPT and self.place:
+        if len(self.keys) and len(self.keys) + len(unique) > WORDS_KEPT:
             self.clear()
-        place = self.place
-        miss = [i for i, k in enumerate(keys) if k not in place]
-        if miss:
+        miss = np.flatnonzero(self.find(unique) < 0)
+        if len(miss):
             raw = data.tobytes()
             s, e = starts[at[miss]], ends[at[miss]]
             cut = (e - s > 1) & np.isin(data[e - 1], (0x2E, 0x2C)) & _ALNUM[data[np.maximum(e - 2, 0)]]
             own = np.where(cut, e - 1, e)
-            base = C.span_hash(sums, s, own).tolist()
-            fresh = {h: raw[a:b] for h, a, b in zip(base, s.tolist(), own.tolist(), strict=True) if h not in place}
-            marks = []
-            for mark in (b".", b","):
+            base = C.span_hash(sums, s, own)
+            absent = np.flatnonzero(self.find(base) < 0)
+            fresh = {h: raw[a:b] for h, a, b in zip(base[absent].tolist(), s[absent].tolist(), own[absent].tolist(), strict=True)}
+            marks = np.array([0, 0], np.uint64)
+            for i, mark in enumerate((b".", b",")):
                 d = np.frombuffer(mark, np.uint8)
-                marks.append(int(C.span_hash(C.prefix_sums(d.astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([1]))[0]))
-                if marks[-1] not in place:
-                    fresh[marks[-1]] = mark
+                marks[i] = C.span_hash(C.prefix_sums(d.astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([1]))[0]
+            fresh |= {int(h): m for h, m, p in zip(marks, (b".", b","), self.find(marks), strict=True) if p < 0}
             self.take([*fresh], [*fresh.values()])
-            ids, spans, hashes = [], [], []
-            for j in np.flatnonzero(cut).tolist():
-                p, q = place[base[j]], place[marks[0] if data[e[j] - 1] == 0x2E else marks[1]]
-                a, n, b = int(self.first.room[p]), int(self.count.room[p]), int(self.first.room[q])
-                ids.append([*self.ids.room[a : a + n].tolist(), int(self.ids.room[b])])
-                hashes.append(keys[miss[j]])
+            end = self.first.room[self.find(marks)].tolist()
+            ids, spans, hashes = [], [], unique[miss[cut]].tolist()
+            for j, p in zip(np.flatnonzero(cut).tolist(), self.find(base[cut]).tolist(), strict=True):
+                a, n = int(self.first.room[p]), int(self.count.room[p])
+                ids.append([*self.ids.room[a : a + n].tolist(), int(self.ids.room[end[int(data[e[j] - 1] == 0x2C)]])])
                 if self.with_spans:
                     size = len(raw[s[j] : own[j]].decode())
                     spans.append([*self.spans.room[2 * a : 2 * (a + n)].reshape(-1, 2).tolist(), [size, size + 1]])
             self.keep(hashes, ids, spans)
-        return np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[back]
+        return self.find(unique)[back]
 
 
 _ALNUM = np.zeros(256, bool)
@@ -131,7 +139,7 @@ def encode(data: np.ndarray, offs: np.ndarray, path: str, spans: bool = False):
     low = data if b"<|" in data.tobytes() else C.lower_ascii(data)
     starts, ends, first_word = C.word_spans(low, offs)
     word = table.lookup(low, starts, ends)
-    first, count = table.first.room[word], table.count.room[word]
+    first, count = table.first.room[word].astype(np.int64), table.count.room[word].astype(np.int64)
     token_of = np.concatenate([[0], np.cumsum(count)])
     where = np.repeat(first - token_of[:-1], count) + np.arange(token_of[-1])
     out = table.ids.room[where], token_of[first_word]
