@@ -44,12 +44,23 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return tokens.pack(docs.select("doc_id", "text"), size=4096)
 
 
+def _bounded(stage):
+    """The stage with Arrow batches that suit whole texts: stages run one after another in the same workers."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.small_batches(spark)
+        C.release(spark)  # what the stages before wrote for themselves; their rows are written by now
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("substring_dedup", remove_repeated_passages),
-    ("decontamination", drop_contaminated),
-    ("packing", pack_sequences),
+    ("language_id", _bounded(identify_language)),
+    ("near_duplicates", _bounded(drop_near_duplicates)),
+    ("substring_dedup", _bounded(remove_repeated_passages)),
+    ("decontamination", _bounded(drop_contaminated)),
+    ("packing", _bounded(pack_sequences)),
 ]
 
 #: The tokenizer's ids can't be expressed in SQL; the pipeline is tested against a brute-force version.
@@ -59,5 +70,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir), name)
+        docs = C.materialize(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
