@@ -6,37 +6,45 @@ documents in turn, each stage's rows written as Parquet and read back as the nex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusewright.llm import common as C
 from fusewright.llm import decontaminate, jaccard, language, repeats, tokens
 
 
+def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that a stage doesn't use under names that no operator has, and the columns that give docs' own back."""
+    names = {c: c if c in used else f"own{i}__" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (3): documents that it rejects go, and so does a text without letters. lang becomes the prediction where it was null."""
-    model = language.fit(docs)
-    kept = language.identify(docs, model).where("not rejected")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    apart, own = _aside(docs, "doc_id", "text", "lang")
+    kept = language.identify(apart, language.fit(apart)).where("not rejected")
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (5): of each group of linked documents (five-word shingles, 0.8) the one with the least doc_id stays."""
+    """N-gram Jaccard join (5): of each group of linked documents (five-word shingles, 0.8) the one with the least doc_id stays. Rows without doc_id go, repeated ids stay once."""
     first = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup (4): words of 20-word windows that also start earlier go; a document of which nothing stays goes."""
-    found = repeats.substring_dedup(docs.drop("n_words", "n_removed", "kept"), window=20, layout=True)
+    apart, own = _aside(docs, "doc_id", "text", "n_chars")
+    found = repeats.substring_dedup(apart, window=20, layout=True)
     changed = found.where("n_words > 0 and n_removed < n_words").withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return changed.select(*docs.columns)
+    return changed.select(*own)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (2): documents with a benchmark window go."""
-    found = decontaminate.phrase_matches(docs, C.table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    apart, own = _aside(docs, "doc_id", "text")
+    found = decontaminate.phrase_matches(apart, C.table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
