@@ -7,12 +7,15 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fusewright.operators import relational, text_vector
+from fusewright.operators import relational, scalars, text_vector
 from fusewright.plans import dialect
 
 
+RELATIONAL = relational.QUERIES | scalars.QUERIES
+
+
 def _relational(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return dialect.run(spark, sf_dir, relational.QUERIES[name])
+    return dialect.run(spark, sf_dir, RELATIONAL[name])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +24,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_relational, name=n) for n in relational.QUERIES} | text_vector.FRAMES
+    return {n: partial(_relational, name=n) for n in RELATIONAL} | text_vector.FRAMES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: dialect.render(t) for n, t in relational.QUERIES.items()} | text_vector.oracle()
+    return {n: dialect.render(t) for n, t in RELATIONAL.items()} | text_vector.oracle()
