@@ -9,7 +9,7 @@ import pytest
 
 from fusewright import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 SQL = catalogue.oracle_sql()
 
 
