@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fusewright.operators import relational, scalars, text_vector, texts, upkeep
+from fusewright.operators import feeds, relational, scalars, text_vector, texts, upkeep
 from fusewright.plans import dialect
 
 
-RELATIONAL = relational.QUERIES | scalars.QUERIES | upkeep.QUERIES
+RELATIONAL = relational.QUERIES | scalars.QUERIES | upkeep.QUERIES | feeds.QUERIES
 
 
 def _relational(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

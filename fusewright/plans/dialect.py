@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from fusewright.sources.events import AS_OF, CANONICAL
 
 _TABLE = re.compile(r"\{(\w+)\}")
+_EVENTS = re.compile(r"\bEV\b")
 _EPOCH = re.compile(r"EPOCH\((\w+)\)")
 
 
 def expand(text: str) -> str:
-    return text.replace("AS_OF", str(AS_OF)).replace("EV", CANONICAL) if "EV" in text else text.replace("AS_OF", str(AS_OF))
+    return _EVENTS.sub(lambda _: CANONICAL, text.replace("AS_OF", str(AS_OF)))
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -24,4 +25,4 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 def render(text: str) -> str:
     text = _EPOCH.sub(r"CAST(floor(epoch(\1)) AS BIGINT)", expand(text))
-    return _TABLE.sub(r"\1", text)
+    return _TABLE.sub(r"\1", text.replace("TIMESTAMP_NTZ", "TIMESTAMP"))
