@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fusewright.operators import feeds, relational, scalars, text_vector, texts, upkeep
+from fusewright.operators import clues, feeds, relational, scalars, text_vector, texts, upkeep
 from fusewright.plans import dialect
 
 
-RELATIONAL = relational.QUERIES | scalars.QUERIES | upkeep.QUERIES | feeds.QUERIES
+RELATIONAL = relational.QUERIES | scalars.QUERIES | upkeep.QUERIES | feeds.QUERIES | clues.QUERIES
 
 
 def _relational(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_relational, name=n) for n in RELATIONAL} | text_vector.FRAMES | texts.FRAMES
+    return {n: partial(_relational, name=n) for n in RELATIONAL} | text_vector.FRAMES | texts.FRAMES | clues.FRAMES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: dialect.render(t) for n, t in RELATIONAL.items()} | text_vector.oracle() | texts.SQL
+    return {n: dialect.render(t) for n, t in RELATIONAL.items()} | text_vector.oracle() | texts.SQL | clues.SQL
