@@ -11,8 +11,9 @@ RAW = {
     "acled": f"{_DAY} AS day, 'note ' || kind AS notes, n % 15 AS fatalities, CASE WHEN n % 3 = 0 THEN '' ELSE 'a' || CAST(u AS STRING) END AS actor1, CASE WHEN n % 2 = 0 THEN kind END AS actor2, lat, lon",
     "adsb": "CASE n % 5 WHEN 0 THEN 'AE01CE' WHEN 1 THEN '43c0d1' WHEN 2 THEN '7380ff' WHEN 3 THEN 'zz' ELSE '10001' END AS hex, CASE n % 6 WHEN 0 THEN 'rch401 ' WHEN 1 THEN 'BAW12' WHEN 2 THEN 'Ascot1' WHEN 3 THEN NULL WHEN 4 THEN '' ELSE 'NATO07' END AS flight, CASE n % 4 WHEN 0 THEN 'k35r ' WHEN 1 THEN 'A320' WHEN 2 THEN NULL ELSE 'E3' END AS type_code, lat, lon, CASE n % 3 WHEN 0 THEN 'ground' WHEN 1 THEN '3500' END AS alt_baro, CASE WHEN n % 4 = 1 THEN v END AS alt_geom, n % 3 AS db_flags, CASE WHEN n % 11 = 0 THEN false WHEN n % 12 = 0 THEN true END AS known_military",
     "ais": "CASE n % 5 WHEN 0 THEN 338000000 WHEN 1 THEN 273000000 WHEN 2 THEN 422000000 WHEN 3 THEN 100000000 ELSE 235000000 END + n AS mmsi, CASE WHEN n % 3 = 0 THEN ' ' ELSE kind END AS ship_name, lat, lon, CASE WHEN n % 2 = 0 THEN 511 ELSE n % 360 END AS heading, v AS speed",
+    "ais_static": "CASE n % 3 WHEN 0 THEN 338000000 WHEN 1 THEN 273000000 ELSE 100000000 END + n AS mmsi, kind AS ship_name, n % 90 AS ship_type, CASE WHEN n % 4 > 0 THEN ' ' || kind END AS destination, CASE WHEN n % 5 > 0 THEN n % 200 END AS bow, n % 40 AS stern, n % 20 AS port, CASE WHEN n % 7 > 0 THEN n % 15 END AS starboard, lat, lon",
     "firms": f"round(lat) AS lat, round(lon) AS lon, v * 2 AS frp, CASE n % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'n' ELSE 'h' END AS confidence_code, CASE n % 4 WHEN 0 THEN 'N' WHEN 1 THEN '1' WHEN 2 THEN 'SN' END AS satellite, {_DAY} AS acq_date, CAST(n % 10 * 100 + n % 60 AS STRING) AS acq_time, seq",
-    "usgs": "'us' || CAST(n % 400 AS STRING) AS id, v / 15 AS magnitude, v AS depth, n % 9 = 0 AS possible_explosion, kind AS place, lat, lon, seq",
+    "usgs": "'us' || CAST(n % 400 AS STRING) AS id, v / 15 AS magnitude, CASE WHEN n % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE v END AS depth, CASE n % 9 WHEN 0 THEN 'Explosion' WHEN 1 THEN NULL WHEN 2 THEN 'quarry blast' ELSE 'earthquake' END AS kind, 'p' || CAST(u AS STRING) AS place, lat, lon, seq",
     "gdacs": "CASE n % 6 WHEN 0 THEN 'EQ' WHEN 1 THEN 'WF' WHEN 2 THEN 'tc' WHEN 3 THEN NULL ELSE 'FL' END AS code, n % 300 AS eventid, CASE n % 5 WHEN 0 THEN 'Red' WHEN 1 THEN 'orange' WHEN 2 THEN 'Green' WHEN 3 THEN NULL ELSE 'x' END AS alert, kind AS name, lat, lon, seq",
     "geoconfirmed": "CAST(n AS STRING) AS id, CASE WHEN n % 3 = 0 THEN '/icons/True/12.png' ELSE '/icons/False/12.png' END AS icon, lat, lon",
     "gdelt": "CASE WHEN n % 5 = 0 THEN '' ELSE 'https://n/' || CAST(n AS STRING) END AS url, CASE WHEN n % 4 = 0 THEN '' ELSE kind END AS headline, 4 - v / 5 AS tone, '202401' || lpad(CAST(n % 28 + 1 AS STRING), 2, '0') || 'T' || lpad(CAST(n % 24 AS STRING), 2, '0') || '1500Z' AS seen",
@@ -33,7 +34,7 @@ RAW = {
 
 
 def _query(name: str) -> str:
-    further = [f for f in CONNECTORS[name].fields if f in ("altitude", "affiliation", "high_value", "heading", "ratio")]
+    further = [f for f in CONNECTORS[name].fields if f in ("altitude", "affiliation", "high_value", "heading", "ratio", "ship_type", "destination", "ship_length", "ship_width")]
     shown = ["CAST(event_time AS STRING) AS event_time", "source_id", "latitude", "longitude", "entity_id", "entity_name", "event_type", "severity", "confidence", "tags", "title", *further]
     return f"WITH e AS ({_E}), raw AS (SELECT {RAW[name]} FROM e) SELECT {', '.join(shown)} FROM ({select(name, 'raw')}) AS made"
 

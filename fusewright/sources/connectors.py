@@ -21,6 +21,7 @@ HIGH_WORDS = ["military", "airstrike", "bombing", "casualties", "intercept", "mo
 MILITARY_SIGNS = ["REACH", "RCH", "JAKE", "ETHYL", "NCHO", "FORTE", "HOMER", "SENTRY", "GORDO", "IAF", "EVAC", "NATO", "TOPPS", "LAGR", "VIPER", "DUKE"]
 MILITARY_SHIPS = ["338", "369", "422"]
 PIRACY_CRITICAL = ["hijack", "kidnap", "missile", "torpedo", "explosion"]
+PIRACY_CONFLICT = ["hijack", "kidnap", "fired", "missile"]
 PIRACY_HIGH = ["fired", "rpg", "shot", "gun", "ak-47", "ak 47", "automatic weapon"]
 PIRACY_MEDIUM = ["knife", "knives", "machete"]
 
@@ -46,8 +47,12 @@ def _time(day: str, clock: str = "'0000'") -> str:
 
 
 _MILITARY_FLIGHT = f"coalesce(known_military, coalesce(db_flags, 0) % 2 = 1 OR {L.starts_with_any('flight', MILITARY_SIGNS)})"
+_HIGH_VALUE = "coalesce(upper(trim(type_code)) IN (" + ", ".join(f"'{t}'" for t in L.HIGH_VALUE_TYPES) + "), false)"
+_FLIGHT_COUNTRY = f"coalesce({L.callsign_country('flight')}, {L.hex_country('hex')})"
 _MILITARY_SHIP = L.starts_with_any("CAST(mmsi AS STRING)", MILITARY_SHIPS)
+_SHIP_TAGS = f"concat_ws(',', CASE WHEN {_MILITARY_SHIP} THEN 'military,naval' END, 'affiliation:' || {L.ship_country('mmsi')})"
 _SATELLITE = "CASE satellite WHEN 'N' THEN 'NOAA-20' WHEN '1' THEN 'NOAA-21' WHEN 'SN' THEN 'Suomi NPP' ELSE coalesce(satellite, 'unknown') END"
+_EXPLOSION = "(lower(coalesce(kind, '')) IN ('explosion', 'mining explosion') OR coalesce(depth = 0, false) OR (coalesce(depth < 5 AND magnitude < 4, false) AND lower(coalesce(kind, '')) <> 'earthquake'))"
 _TONE = "CASE WHEN tone < -5 THEN 'high' WHEN tone < -2 THEN 'medium' ELSE 'low' END"
 _CATEGORY_RANK = "CASE WHEN category IN ('4', '5') THEN 3 WHEN category = '3' THEN 2 ELSE 1 END"
 _PIRACY_RANK = f"CASE WHEN {L.any_of('sitrep', PIRACY_CRITICAL)} THEN 4 WHEN {L.any_of('sitrep', PIRACY_HIGH)} THEN greatest(3, {_CATEGORY_RANK}) WHEN {L.any_of('sitrep', PIRACY_MEDIUM)} THEN greatest(2, {_CATEGORY_RANK}) ELSE {_CATEGORY_RANK} END"
@@ -63,10 +68,9 @@ CONNECTORS = {
     "adsb": Connector(
         "hex string, flight string, type_code string, lat double, lon double, alt_baro string, alt_geom double, db_flags long, known_military boolean",
         {
-            "event_type": "'flight_position'", "entity_id": "hex", "entity_name": "nullif(trim(flight), '')", "severity": f"CASE WHEN {_MILITARY_FLIGHT} THEN 'medium' ELSE 'low' END", "tags": f"CASE WHEN {_MILITARY_FLIGHT} THEN 'military' ELSE '' END",
+            "event_type": "'flight_position'", "entity_id": "hex", "entity_name": "nullif(trim(flight), '')", "severity": f"CASE WHEN {_MILITARY_FLIGHT} THEN 'medium' ELSE 'low' END", "tags": f"concat_ws(',', CASE WHEN {_MILITARY_FLIGHT} THEN 'military' END, CASE WHEN {_HIGH_VALUE} THEN 'high_value' END, 'affiliation:' || {_FLIGHT_COUNTRY}, 'type:' || nullif(trim(type_code), ''))",
             "altitude": "coalesce(alt_geom, CASE WHEN alt_baro = 'ground' THEN CAST(0 AS DOUBLE) ELSE CAST(alt_baro AS DOUBLE) END)",
-            "affiliation": f"coalesce({L.callsign_country('flight')}, {L.hex_country('hex')})",
-            "high_value": "coalesce(upper(trim(type_code)) IN (" + ", ".join(f"'{t}'" for t in L.HIGH_VALUE_TYPES) + "), false)", **_PLACE,
+            "affiliation": _FLIGHT_COUNTRY, "high_value": _HIGH_VALUE, **_PLACE,
         },
         keep="lat IS NOT NULL AND lon IS NOT NULL",
     ),
@@ -74,7 +78,16 @@ CONNECTORS = {
         "mmsi long, ship_name string, lat double, lon double, heading long, speed double",
         {
             "event_type": "'vessel_position'", "entity_id": "CAST(mmsi AS STRING)", "entity_name": "nullif(trim(ship_name), '')", "severity": f"CASE WHEN {_MILITARY_SHIP} THEN 'medium' ELSE 'low' END",
-            "latitude": "coalesce(lat, CAST(0 AS DOUBLE))", "longitude": "coalesce(lon, CAST(0 AS DOUBLE))", "heading": "nullif(heading, 511)", "affiliation": L.ship_country("mmsi"),
+            "latitude": "coalesce(lat, CAST(0 AS DOUBLE))", "longitude": "coalesce(lon, CAST(0 AS DOUBLE))", "heading": "nullif(heading, 511)", "affiliation": L.ship_country("mmsi"), "tags": _SHIP_TAGS,
+        },
+        keep="mmsi IS NOT NULL",
+    ),
+    "ais_static": Connector(
+        "mmsi long, ship_name string, ship_type long, destination string, bow long, stern long, port long, starboard long, lat double, lon double",
+        {
+            "source_type": "'ais'", "event_type": "'vessel_position'", "entity_id": "CAST(mmsi AS STRING)", "entity_name": "nullif(trim(ship_name), '')", "severity": f"CASE WHEN {_MILITARY_SHIP} THEN 'medium' ELSE 'low' END",
+            "latitude": "coalesce(lat, CAST(0 AS DOUBLE))", "longitude": "coalesce(lon, CAST(0 AS DOUBLE))", "affiliation": L.ship_country("mmsi"), "tags": _SHIP_TAGS, "ship_type": "CAST(coalesce(ship_type, 0) AS BIGINT)", "destination": "trim(coalesce(destination, ''))",
+            "ship_length": "CAST(coalesce(bow, 0) + coalesce(stern, 0) AS BIGINT)", "ship_width": "CAST(coalesce(port, 0) + coalesce(starboard, 0) AS BIGINT)",
         },
         keep="mmsi IS NOT NULL",
     ),
@@ -89,8 +102,8 @@ CONNECTORS = {
         keyed=True,
     ),
     "usgs": Connector(
-        "id string, magnitude double, depth double, possible_explosion boolean, place string, lat double, lon double, seq long",
-        {"source_id": "id", "entity_id": "id", "event_type": "'seismic_event'", "severity": "CASE WHEN possible_explosion THEN 'critical' ELSE " + above("magnitude", (5, "high"), (3, "medium"), otherwise="low") + " END", "tags": "CASE WHEN depth < 5 THEN 'shallow' ELSE '' END", "title": "place", **_PLACE},
+        "id string, magnitude double, depth double, kind string, place string, lat double, lon double, seq long",
+        {"source_id": "id", "entity_id": "id", "event_type": "'seismic_event'", "severity": "CASE WHEN " + _EXPLOSION + " THEN 'critical' ELSE " + above("magnitude", (5, "high"), (3, "medium"), otherwise="low") + " END", "tags": f"concat_ws(',', CASE WHEN {_EXPLOSION} THEN 'potential_explosion' END, CASE WHEN depth < 5 THEN 'shallow' END)", "title": "place", **_PLACE},
         keep="id IS NOT NULL",
         keyed=True,
     ),
@@ -153,7 +166,7 @@ CONNECTORS = {
     ),
     "imb_piracy": Connector(
         "incident string, category string, sitrep string, lat double, lon double",
-        {"source_id": "incident", "entity_id": "incident", "event_type": f"CASE WHEN {_PIRACY_RANK} >= 4 THEN 'conflict_event' ELSE 'maritime_security' END", "severity": f"CASE {_PIRACY_RANK} WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END", **_PLACE},
+        {"source_id": "incident", "entity_id": "incident", "event_type": f"CASE WHEN {L.any_of('sitrep', PIRACY_CONFLICT)} THEN 'conflict_event' ELSE 'maritime_security' END", "severity": f"CASE {_PIRACY_RANK} WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END", **_PLACE},
     ),
     "copernicus": Connector(
         "code string, name string, category string, is_closed boolean, aois long, products long, wkt string, seq long",

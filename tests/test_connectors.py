@@ -24,6 +24,6 @@ def test_firms_keeps_the_first_of_equal_detections(spark):
 def test_flights_and_ships(spark):
     rows = [("ae01ce", " rch1 ", "C17", 1.0, 2.0, "ground", None, 0, None), ("7380FF", "XY1", "A320", 1.0, 2.0, "3500", None, 1, False), ("zz", None, None, 1.0, None, "1", None, 1, None)]
     got = sorted(normalise(spark.createDataFrame(rows, CONNECTORS["adsb"].raw), "adsb").collect(), key=lambda r: r.altitude)
-    assert [(r.severity, r.altitude, r.affiliation, r.high_value, r.tags) for r in got] == [("medium", 0.0, "US", True, ["military"]), ("low", 3500.0, "IL", False, [])]
+    assert [(r.severity, r.altitude, r.affiliation, r.high_value, r.tags) for r in got] == [("medium", 0.0, "US", True, ["military", "high_value", "affiliation:US", "type:C17"]), ("low", 3500.0, "IL", False, ["affiliation:IL", "type:A320"])]
     ship = normalise(spark.createDataFrame([(338123456, "", None, None, 511, 1.0)], CONNECTORS["ais"].raw), "ais").first()
-    assert (ship.severity, ship.latitude, ship.heading, ship.entity_name, ship.affiliation) == ("medium", 0.0, None, None, "US")
+    assert (ship.severity, ship.latitude, ship.heading, ship.entity_name, ship.affiliation, ship.tags) == ("medium", 0.0, None, None, "US", ["military", "naval", "affiliation:US"])
