@@ -1,8 +1,9 @@
 """Operator 1: the main text of web pages, from the standard library's streaming parser.
 
-Blocks are the lines of the page. Each has a text-to-tag ratio; the ratios are smoothed with a Gaussian
-and a threshold between their two clusters tells regions of content from the rest. Elements that are
-never content by what they are (menus, footers, forms, adverts ...) are left out before.
+Blocks are the lines of the page. Each has a text-to-tag ratio; the ratios' logarithms are smoothed with
+a Gaussian and a threshold between their two clusters tells content from the rest, on every page. Lying
+in an article or main element only lowers the threshold. Elements that are never content by what they
+are (menus, footers, forms, adverts ...) are left out before.
 """
 
 from __future__ import annotations
@@ -143,10 +144,11 @@ def threshold(values: list[float]) -> float:
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """Text of a page's content regions, blocks joined by a line feed. Null, empty or all dropped: empty.
+    """Text of a page's content lines, joined by a line feed. Null, empty or all dropped: empty.
 
-    A page with article or main elements: those whose ratios reach the threshold of the page's regions,
-    each whole. Else the run from the first to the last line over the threshold.
+    A line is content where its smoothed log ratio reaches the threshold less log 2; in an article or main
+    element with a fair share of the page's mass (a teaser's hasn't), less log 4, and two characters a tag
+    are enough there. Gaps no longer than the smoothing reaches are filled.
     """
     if not html:
         return ""
@@ -157,17 +159,19 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     blocks = p.blocks
     if not blocks:
         return ""
-    regions = {r for _, _, r in blocks if r}
-    if len(regions) == 1:
-        return "\n".join(t for t, _, r in blocks if r)
-    smooth = smoothed([len(t) / max(1, n) for t, n, _ in blocks], sigma)
-    if regions:
-        mass = {r: sum(s for s, b in zip(smooth, blocks, strict=True) if b[2] == r) for r in regions}
-        cut = threshold(list(mass.values())) if max(mass.values()) > 4 * min(mass.values()) else 0
-        return "\n".join(t for t, _, r in blocks if r and mass[r] >= cut)
-    cut = threshold(smooth) / 2
-    over = [i for i, s in enumerate(smooth) if s >= cut]
-    return "\n".join(t for t, _, _ in blocks[over[0] : over[-1] + 1]) if over else ""
+    mass: dict[int, int] = {}
+    for t, _, r in blocks:
+        mass[r] = mass.get(r, 0) + len(t)
+    fair = max(mass.values()) / 4
+    smooth = smoothed([math.log1p(len(t) / max(1, n)) for t, n, _ in blocks], sigma)
+    cut = threshold(smooth)
+    inside, outside = min(cut - math.log(4), math.log(3)), cut - math.log(2)
+    over = [i for i, (s, b) in enumerate(zip(smooth, blocks, strict=True)) if s >= (inside if b[2] and mass[b[2]] >= fair else outside)]
+    reach = max(1, math.ceil(2 * sigma))
+    kept = over[:1]
+    for i in over[1:]:
+        kept += range(kept[-1] + 1, i + 1) if i - kept[-1] <= reach + 1 else [i]
+    return "\n".join(blocks[i][0] for i in kept)
 
 
 def extract(pages: DataFrame, html: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -125,6 +125,19 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == ""
 
 
+def test_html_ratio_decides():
+    body = [f"Body line {i} holds a long run of plain words, so that it has much text for its tags and is the content." for i in range(6)]
+    divs = "".join(f"<div>{b}</div>" for b in body)
+    links = "".join(f'<div><a href="{i}"><span><b>t{i}</b></span></a></div>' for i in range(8))
+    for tag in ("article", "div"):  # one teaser in an article, and none
+        page = f'<body><{tag}><h2>Teaser</h2><p><a href="x">Read on</a></p></{tag}>{links}{divs}{links}</body>'
+        got = html.main_text(page).split("\n")
+        assert [x for x in got if x in body] == body and "Teaser" not in got and "t4" not in got
+    # An article around all: its own dense lines go, its short plain ones stay.
+    got = html.main_text(f"<article><h1>Title</h1>{divs}<p>No.</p>{divs}{links}</article>").split("\n")
+    assert got[:14] == ["Title", *body, "No.", *body] and "t4" not in got
+
+
 def test_models(spark):
     rows = [(i, ("the cat and the dog %d" if i % 2 else "der hund und die katze %d") % i, "en" if i % 2 else "de") for i in range(80)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
