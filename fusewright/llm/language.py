@@ -3,8 +3,9 @@
 A text is its vector of hashed byte trigrams (lower-cased, all ASCII but letters as one blank), term
 frequencies damped by a logarithm, weighted by inverse document frequency, of length one. Each language
 has several centroids, from spherical k-means over its training vectors. The prediction is the language
-of the centroid with the largest cosine; a text is rejected where that cosine is far below what texts
-of its size reach in training.
+of the centroid with the largest cosine; a text is rejected where that cosine is not clear of what noise
+reaches, at its size, towards what the language's texts reach. Size is the number of different buckets,
+so a text of repeated lines counts as the short text that it is.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: np.ndarray  # least cosine that is not rejected, by the size's bit length
+    floor: np.ndarray  # least cosine that is not rejected, of each centroid by size class
 
 
 def trigram_counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -57,55 +58,107 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
+SIZES = 2 * DIMS.bit_length()
+
+
 def size_class(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(counts.sum(1), 1)).astype(int), 31)
+    """Half octaves of the number of different buckets."""
+    return (2 * np.log2(np.maximum((counts > 0).sum(1), 1))).astype(int)
+
+
+def drawn(counts: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts of texts as long as 4 to 4 million trigrams, each drawn from the trigrams of one to four of the given texts."""
+    out = []
+    for size in 2.0 ** np.arange(2, 23):
+        for _ in range(draws):
+            p = counts[rng.integers(len(counts), size=rng.integers(1, 5))].sum(0)
+            out.append(rng.poisson(p * (size / max(p.sum(), 1))))
+    return np.stack(out).astype(np.float32)
+
 
+def least_cosines(near: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The 1% quantile of cosines by size class; classes that none reaches have the nearest one's."""
+    have = [k for k in range(SIZES) if (abs(size - k) <= 1).any()]
+    low = {k: np.quantile(near[abs(size - k) <= 1], 0.01) for k in have}
+    return np.array([low[min(have, key=lambda h: abs(h - k))] for k in range(SIZES)])
 
-def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, max_languages: int = 64, seed: int = 7) -> LanguageModel:
+
+def noise_cosines(c: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """What texts of buckets by chance reach by size class (99% quantile), at one count a bucket and at many."""
+    out = np.zeros(SIZES)
+    for k in range(SIZES):
+        n = min(int(2 ** ((k + 0.5) / 2)) or 1, DIMS)
+        rows = np.zeros((128, DIMS), np.float32)
+        for i, row in enumerate(rows):
+            row[rng.choice(DIMS, n, replace=False)] = 1 if i % 2 else 1 + rng.poisson(2.0 ** rng.integers(0, 8), n)
+        out[k] = np.quantile((vectors(rows, idf) @ c.T).max(1), 0.99)
+    return out
+
+
+def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, block: int = 64, seed: int = 7) -> LanguageModel:
     """Model from the columns doc_id, text and lang; rows with null text or lang don't count.
 
-    Bounded sample: about per_language texts of each of the max_languages most frequent languages, by
-    the hash of doc_id; what comes to the driver is that sample's trigram counts.
+    The 64 most frequent languages are learned. Bounded sample: about per_language texts of each, by the hash of doc_id;
+    what comes to the driver at once is the trigram counts of a block of languages. More than one block
+    is gone through twice, for document frequencies and then for centroids.
     """
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32))
-    of = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1_000_000, 1_000_000 * per_language // v + 1))))
+        return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, SIZES)))
+    order = sorted(sizes)
+    blocks = [order[i : i + block] for i in range(0, len(order), block)]
+    share = [(k, i // block, min(1_000_000, 1_000_000 * per_language // sizes[k] + 1)) for i, k in enumerate(order)]
+    of = F.broadcast(labelled.sparkSession.createDataFrame(share, "lang string, block int, most long"))
     dice = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
-    picked = rows.where(F.col("lang").isin([*sizes])).where(dice < of[F.col("lang")]).select("lang", dice.alias("dice"), "text")
+    picked = rows.withColumn("dice", dice).join(of, "lang").where("dice < most").select("lang", "block", "dice", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in C.chunks(batches, "text", rows=512):
             counts = np.minimum(trigram_counts(data, offs), 65535).astype("<u2")
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("dice"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "dice", "counts"])
-
-    sample = sorted(picked.mapInArrow(counted, "lang string, dice long, counts binary").collect(), key=lambda r: (r["lang"], r["dice"], r["counts"]))
-    langs = np.array([r["lang"] for r in sample])
-    counts = np.stack([np.frombuffer(bytes(r["counts"]), "<u2") for r in sample]).astype(np.float32) if sample else np.zeros((0, DIMS), np.float32)
-    keep = np.concatenate([np.flatnonzero(langs == x)[:per_language] for x in sorted(sizes)]) if sample else np.zeros(0, int)
-    langs, counts = langs[keep], counts[keep]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    v = vectors(counts, idf)
-    names, centroids = [], []
-    rng = np.random.default_rng(seed)
-    for lang in sorted(sizes):
-        own = v[langs == lang]
-        if not len(own):
-            continue
-        c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
-        for _ in range(15):
-            near = (own @ c.T).argmax(1)
-            c = np.stack([own[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        centroids.append(c)
-        names += [lang] * len(c)
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("block"), part.column("dice"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "block", "dice", "counts"])
+
+    sample = picked.mapInArrow(counted, "lang string, block int, dice long, counts binary")
+    if len(blocks) > 1:
+        sample = C.materialize(sample, "languages")
+
+    def training(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and counts of the block's texts, at most per_language of each."""
+        got = sorted(sample.where(F.col("block") == i).collect(), key=lambda r: (r["lang"], r["dice"], r["counts"]))
+        langs = np.array([r["lang"] for r in got], object)
+        keep = [j for x in blocks[i] for j in np.flatnonzero(langs == x)[:per_language]]
+        counts = np.stack([np.frombuffer(bytes(got[j]["counts"]), "<u2") for j in keep]) if keep else np.zeros((0, DIMS), "<u2")
+        return langs[keep], counts
+
+    n, df, held = 0, np.zeros(DIMS), None
+    for i in range(len(blocks)):
+        held = training(i)
+        n += len(held[1])
+        df += (held[1] > 0).sum(0)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    names, centroids, lows = [], [], []
+    rng, dealt = np.random.default_rng(seed), np.random.default_rng(seed)
+    for i in range(len(blocks)):
+        langs, all_counts = training(i) if len(blocks) > 1 else held
+        for lang in blocks[i]:
+            counts = all_counts[langs == lang].astype(np.float32)
+            if not len(counts):
+                continue
+            own = vectors(counts, idf)
+            c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
+            for _ in range(15):
+                near = (own @ c.T).argmax(1)
+                c = np.stack([own[near == k].sum(0) if (near == k).any() else c[k] for k in range(len(c))])
+                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+            centroids.append(c)
+            names += [lang] * len(c)
+            made = np.concatenate([counts, drawn(counts, max(1, min(16, 256 // len(order))), dealt)])
+            low = least_cosines((vectors(made, idf) @ c.T).max(1), size_class(made))
+            # Few texts say little about others: the floor then keeps nearer to the noise.
+            lows += [(low, len(counts) / (len(counts) + 20))] * len(c)
     c = np.concatenate(centroids)
-    best, size = (v @ c.T).max(1), size_class(counts)
-    floor = np.zeros(32)
-    for k in range(32):  # about a third of what the least similar training texts of about that size reach
-        close = best[np.abs(size - k) <= 1]
-        floor[k] = 0.35 * np.quantile(close, 0.01) if len(close) >= 20 else 0
+    noise = noise_cosines(c, idf, dealt)
+    floor = np.stack([noise + 0.35 * trust * np.maximum(low - noise, 0) for low, trust in lows])
     return LanguageModel(names, c, idf, floor)
 
 
@@ -133,7 +186,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             letter = np.array([any(map(str.isalpha, t or "")) for t in part.column("text").to_pylist()], bool)
             best[~letter] = len(langs) - 1
             score[best == len(langs) - 1] = 0
-            rejected = (best == len(langs) - 1) | (score < model.floor[size_class(counts)])
+            rejected = best == len(langs) - 1
+            if len(model.languages):
+                rejected |= score < model.floor[np.minimum(best, len(model.floor) - 1), size_class(counts)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(langs[best], pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
 
     return kept.mapInArrow(run, schema)

@@ -145,3 +145,15 @@ def test_hard_pages(spark):
     d = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (None, None, "<p>one</p>", "x"), (4, "u", "<p>" + "long " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html.extract(d).collect()}
     assert got[1].text == got[2].text == "" and got[4].n_chars == 249_999 and len(got) == 4
+
+
+def test_language_floor_at_every_length(spark):
+    rnd = random.Random(3)
+    say = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    model = language.fit(spark.createDataFrame([(i, say(GERMAN if i % 2 else ENGLISH, rnd.randint(20, 90)), "de" if i % 2 else "en") for i in range(100)], "doc_id long, text string, lang string"))
+    kinds = {"letters": "abcdefghijklmnopqrstuvwxyz", "base64": "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58), 43, 47])), "cyrillic": "".join(map(chr, range(0x430, 0x450)))}
+    junk = [(kind, n, "".join(rnd.choices(letters, k=n))) for kind, letters in kinds.items() for n in (50, 500, 5_000, 20_000, 200_000)]
+    good = [(k, n, say(w, n)) for k, w in (("en", ENGLISH), ("de", GERMAN)) for n in (10, 100, 1_000, 40_000)] + [("en", 0, (say(ENGLISH, 12) + "\n") * 2_000)]
+    found = language.identify(spark.createDataFrame([*junk, *good], "kind string, n int, text string"), model).collect()
+    assert [(r.kind, r.n) for r in found if r.rejected] == [(k, n) for k, n, _ in junk]
+    assert all(r.kind == r.lang_pred for r in found if not r.rejected)
