@@ -98,12 +98,12 @@ def noise_cosines(c: np.ndarray, idf: np.ndarray, rng: np.random.Generator) -> n
 def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, block: int = 64, seed: int = 7) -> LanguageModel:
     """Model from the columns doc_id, text and lang; rows with null text or lang don't count.
 
-    The 64 most frequent languages are learned. Bounded sample: about per_language texts of each, by the hash of doc_id;
+    Every language is learned. Bounded sample: about per_language texts of each, by the hash of doc_id;
     what comes to the driver at once is the trigram counts of a block of languages. More than one block
     is gone through twice, for document frequencies and then for centroids.
     """
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, SIZES)))
     order = sorted(sizes)

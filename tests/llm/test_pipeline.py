@@ -157,3 +157,14 @@ def test_language_floor_at_every_length(spark):
     found = language.identify(spark.createDataFrame([*junk, *good], "kind string, n int, text string"), model).collect()
     assert [(r.kind, r.n) for r in found if r.rejected] == [(k, n) for k, n, _ in junk]
     assert all(r.kind == r.lang_pred for r in found if not r.rejected)
+
+
+def test_all_languages_are_learned(spark):
+    rnd = random.Random(5)
+    words = {f"x{k:02d}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    docs = [(f"{x}.{i}", " ".join(rnd.choices(w, k=30)), x) for x, w in words.items() for i in range(3 if x == "x69" else 4)]
+    model = language.fit(spark.createDataFrame(docs, "doc_id string, text string, lang string"))
+    assert {*model.languages} == {*words}
+    unseen = [(x, " ".join(rnd.choices(w, k=30))) for x, w in words.items()]
+    found = language.identify(spark.createDataFrame(unseen, "own string, text string"), model).collect()
+    assert all(r.lang_pred == r.own and not r.rejected for r in found)
