@@ -3,7 +3,8 @@
 The benchmark's items are cut into windows of consecutive words. The index holds postings (term, document,
 position) of the corpus for the terms that are looked up: each window's rarest, by counts over the whole
 corpus. Lists are intersected after subtracting each term's offset in the window, so that an exact phrase
-has one start; what is left is compared word for word. The proximity form lets the starts differ.
+has one start; what is left is compared word for word. The proximity form lets words stand up to a few
+places off and some be others, so it looks up as many rare terms as leave two that must agree.
 """
 
 from __future__ import annotations
@@ -70,20 +71,98 @@ def phrase_candidates(docs: DataFrame, looked_up: DataFrame, n: int) -> DataFram
     return agree.select("doc_id", "start", "window_id").join(bounded(texts, n), "window_id").select("doc_id", "start", "window", "items")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: int = 10, rarest: int = 3) -> DataFrame:
-    """(doc_id, start, window, items): places where a window's rarest terms stand near each other as in the window.
+#: Starts are gathered by stretches of so many words; those near the end of one also count in the next.
+STRETCH = 16
 
-    start is where the window would begin by its rarest term; every other of its `rarest` terms occurs at its
-    offset from there, give or take slop words. Null texts have no words; repeated rows count once.
+
+def near_lookups(docs: DataFrame, items: DataFrame, size: int, misses: int) -> tuple[DataFrame, int]:
+    """(window_id, window, items, least, term, offset, agree, r): rarest terms of each window that can be near, and the number of windows.
+
+    Of a window's words `least` must be found. A word absent from the corpus is missing for sure; of the
+    terms looked up, `agree` must be found whichever others are missing.
     """
-    found, n = lookups(docs, items, size, rarest)
-    hits = postings(docs, found, n).join(bounded(found, n), "term").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "terms", "r")
-    cell = F.floor(F.col("start") / (slop + 1))
-    anchors = hits.where("r = 1").select("doc_id", "window_id", "start", "terms", cell.alias("cell")).distinct()
-    others = hits.where("r > 1").select("doc_id", "window_id", F.col("start").alias("at"), "r", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-    near = anchors.join(others, ["doc_id", "window_id", "cell"], "left").groupBy("doc_id", "window_id", "start", "terms").agg(F.count_distinct(F.when(F.abs(F.col("at") - F.col("start")) <= slop, F.col("r"))).alias("n"))
-    texts = found.select("window_id", "window", "items").dropDuplicates(["window"])
-    return near.where("n = terms - 1").join(bounded(texts, n), "window_id").select("doc_id", "start", "window", "items")
+    windows = C.materialize(windows_of(items, size).withColumn("window_id", F.xxhash64("window")), "windows")
+    n = windows.count()
+    terms = windows.select(F.explode("window").alias("term")).distinct()
+    tokens = docs.select(F.explode(words_of("text")).alias("term"))
+    counts = tokens.join(bounded(terms, n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    each = windows.select("window_id", "window", "items", F.posexplode("window").alias("offset", "term")).join(counts, "term", "left")
+    by = W.partitionBy("window")
+    may = F.floor(F.lit(misses) * F.size("window") / size).cast("int")
+    ranked = each.withColumn("least", F.size("window") - may).withColumn("spare", may - F.count(F.when(F.col("df").isNull(), 1)).over(by).cast("int")).where("spare >= 0 and df is not null")
+    ranked = ranked.withColumn("r", F.row_number().over(by.orderBy("df", "offset"))).where("r <= spare + 2")
+    ranked = ranked.withColumn("agree", F.count("*").over(by).cast("int") - F.col("spare"))
+    return C.materialize(ranked.select("window_id", "window", "items", "least", "term", "offset", "agree", "r"), "near_lookups"), n
+
+
+def near_places(docs: DataFrame, items: DataFrame, slop: int, size: int, misses: int) -> DataFrame:
+    """(doc_id, cand_): the stretches of each document in which enough of a window's looked up terms start near each other."""
+    found, n = near_lookups(docs, items, size, misses)
+    # Texts are dealt once by document, so that the many hits are gathered where they arise.
+    dealt = docs.where("doc_id is not null").repartition(4 * C.shuffle_partitions(docs.sparkSession), "doc_id")
+    tokens = dealt.select("doc_id", F.posexplode(words_of("text")).alias("pos", "term"))
+    hits = tokens.join(bounded(found.select("term", "offset", "window_id", "agree", "r"), n), "term").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "agree", "r")
+    cell = F.floor(F.col("start") / STRETCH).cast("int")
+    last = F.floor((F.col("start") + 2 * slop) / STRETCH).cast("int")
+    hits = hits.select("doc_id", "window_id", "agree", "start", F.expr("shiftleft(1, r)").alias("bit"), F.explode(F.sequence(cell, last)).alias("cell"))
+    places = hits.groupBy("doc_id", "window_id", "agree", "cell").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.bit_or("bit").alias("bits")).where("bit_count(bits) >= agree")
+    texts = found.select("window_id", "window", "items", "least").dropDuplicates(["window"])
+    each = places.join(bounded(texts, n), "window_id").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "window", "items", "least")).alias("cand_"))
+    return C.materialize(each, "near_candidates")
+
+
+def nearest(slop: int) -> Column:
+    """Of text and cand_: (window, items, least, best: (minus the words found, start)) of each place that has enough of the window's words."""
+
+    def found(words: Column, c: Column, s: Column) -> Column:
+        def there(o: Column) -> Column:
+            first = F.greatest(s + o - slop, F.lit(0))
+            return F.array_contains(F.slice(words, first + 1, F.greatest(s + o + slop + 1 - first, F.lit(0))), F.get(c["window"], o))
+
+        return F.size(F.filter(F.sequence(F.lit(0), F.size(c["window"]) - 1), there))
+
+    def place(words: Column, c: Column) -> Column:
+        best = F.array_min(F.transform(F.sequence(c["lo"] - slop, c["hi"] + slop), lambda s: F.struct((-found(words, c, s)).alias("minus"), s.alias("start"))))
+        return F.struct(c["window"].alias("window"), c["items"].alias("items"), c["least"].alias("least"), best.alias("best"))
+
+    def may(words: Column, c: Column) -> Column:
+        """Whether enough of the words are anywhere in the stretch, which is soon told."""
+        first = F.greatest(c["lo"] - 2 * slop, F.lit(0))
+        part = F.slice(words, first + 1, F.greatest(c["hi"] + 2 * slop + F.size(c["window"]) - first, F.lit(0)))
+        return F.exists(F.array(part), lambda x: F.size(F.filter(c["window"], lambda w: F.array_contains(x, w))) >= c["least"])
+
+    # The words are bound once for a row.
+    of_row = F.transform(F.array(words_of("text")), lambda words: F.filter(F.transform(F.filter("cand_", lambda c: may(words, c)), lambda c: place(words, c)), lambda p: -p["best"]["minus"] >= p["least"]))
+    return F.when(F.col("cand_").isNotNull(), F.get(of_row, F.lit(0)))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: int = 10, misses: int = 2) -> DataFrame:
+    """(doc_id, start, window, items, n_found): windows that stand nearly in a document, each at its best place, of equals the first.
+
+    A word of the window is found where it occurs at its offset from start, give or take slop words; all but
+    `misses` of `size` words must be (of a shorter window proportionally many, rounded down). Null texts have
+    no words; rows without doc_id match nothing; repeated rows count once.
+    """
+    rows = docs.select("doc_id", "text").join(near_places(docs.select("doc_id", "text"), items, slop, size, misses), "doc_id")
+    each = rows.select("doc_id", F.explode(nearest(slop)).alias("p")).select("doc_id", "p.window", "p.items", "p.best")
+    best = each.groupBy("doc_id", "window", "items").agg(F.min("best").alias("best"))
+    return best.select("doc_id", F.col("best.start").alias("start"), "window", "items", (-F.col("best.minus")).alias("n_found"))
+
+
+def near_matches(docs: DataFrame, items: DataFrame, slop: int = 3, size: int = 10, misses: int = 2) -> DataFrame:
+    """The rows of docs plus n_near (different windows that proximity_matches finds) and near_items (their items' ids, sorted as strings).
+
+    Other columns pass unchanged; columns with the names of the new ones are replaced.
+    """
+    places = near_places(docs.select("doc_id", "text"), items, slop, size, misses)
+    names = [c for c in docs.columns if c not in ("n_near", "near_items")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(places, "doc_id", "left").withColumn("near_", nearest(slop))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("near_", lambda p: p["items"]))))
+    return rows.select(
+        *(F.col(f"`{c}`") for c in names),
+        F.coalesce(F.size(F.array_distinct(F.transform("near_", lambda p: p["window"]))).cast("long"), F.lit(0).cast("long")).alias("n_near"),
+        F.coalesce(ids, F.array().cast("array<string>")).alias("near_items"),
+    )
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int = 3) -> DataFrame:

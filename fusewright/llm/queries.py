@@ -28,6 +28,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.near_matches(docs, C.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_near", F.array_join("near_items", ",").alias("near_items"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = C.crc32_mod("doc_id", 3) == 1
@@ -72,7 +78,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_html_extraction, op2_decontamination, op3_language_id, op4_substring_dedup, op5_ngram_jaccard, op6_suffix_dedup, op7_toxicity, op8_token_counts, op9_fingerprints, op10_best_fit_packing]
+    own = [op1_html_extraction, op2_decontamination, op2_proximity, op3_language_id, op4_substring_dedup, op5_ngram_jaccard, op6_suffix_dedup, op7_toxicity, op8_token_counts, op9_fingerprints, op10_best_fit_packing]
     return {f.__name__: f for f in own}
 
 

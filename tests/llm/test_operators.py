@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with hard rows."""
 
+import random
 import re
 from collections import Counter
 
@@ -77,6 +78,38 @@ def test_decontamination(spark, docs):
     assert decontaminate.proximity_matches(docs, items).where("doc_id = 0").count() > 0
 
 
+def test_proximity_on_edited_passages(spark):
+    rnd = random.Random(11)
+    common = [f"w{i}" for i in range(40)]
+    passage = [*rnd.sample(common, 5), "rareone", *rnd.sample(common, 4), "raretwo", *rnd.sample(common, 3)]
+    texts = [rnd.choices(common, k=90) for _ in range(12)]
+    for i, edit in enumerate((lambda p: p, lambda p: [w if w != "rareone" else "other" for w in p], lambda p: [*p[:3], "new", "more", *p[3:]], lambda p: p[:4] + p[6:], lambda p: ["x", "y", "z", *p[3:]], lambda p: p[::-1])):
+        at = (0, 40, 58, 76, 20, 60)[i]
+        texts[i][at:at] = edit(passage)
+    texts += [["word"] * 70, [], passage[:9], ["rareone", "a", "raretwo"]]
+    items = {"1": passage, "2": ["nowhere", *texts[7][10:19]], "3": texts[8][5:11], "4": ["w1"], "5": ["nowhere", "never", "no", *texts[7][40:47]], "6": [], "7": texts[9][60:75]}
+    want = {}
+    for name, words in items.items():
+        for k in range(max(len(words) - 9, min(len(words), 1))):
+            w = words[k : k + 10]
+            for d, t in enumerate(texts):
+                n, s = max(((sum(x in t[max(0, s + o - 3) : max(0, s + o + 4)] for o, x in enumerate(w)), -s) for s in range(-13, len(t) + 4)), default=(0, 0))
+                if n >= len(w) - 2 * len(w) // 10:
+                    want.setdefault((d, tuple(w)), (-s, n, []))[2].append(name)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(0, " ".join(texts[0])), (None, " ".join(passage)), (99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(int(k), " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, tuple(r.window)): (r.start, r.n_found, list(r["items"])) for r in decontaminate.proximity_matches(docs, bench).collect()}
+    assert got == want and {d for d, w in want if "rareone" in w} >= {0, 1, 2, 3} and any(w[0] == "nowhere" for _, w in want)
+    near = {}
+    for (d, _), (_, _, ids) in want.items():
+        near.setdefault(d, []).append(ids)
+    rows = decontaminate.near_matches(docs, bench).collect()
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        own = near.get(r.doc_id, [])
+        assert (r.n_near, list(r.near_items)) == (len(own), sorted({x for ids in own for x in ids}))
+
+
 def test_packing_round_trip(docs, none):
     from tokenizers import Tokenizer
 
