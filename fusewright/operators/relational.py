@@ -112,6 +112,10 @@ SELECT a.event_id AS a_id, b.event_id AS b_id FROM a JOIN b ON a.region = b.regi
     # Rules over ranges of time
     "country_burst_counts": """WITH EV, c AS (SELECT region, CAST(floor(t / 300) AS BIGINT) AS b, count(CASE WHEN source_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN source_type = 'error' THEN 1 END) AS errors, count(CASE WHEN source_type = 'view' THEN 1 END) AS views
 FROM ev WHERE region IS NOT NULL GROUP BY region, CAST(floor(t / 300) AS BIGINT)) SELECT region, b, CAST(clicks AS BIGINT) AS clicks, CAST(errors AS BIGINT) AS errors, CAST(views AS BIGINT) AS views FROM c WHERE clicks >= 1 AND errors >= 1 AND views >= 1""",
+    # Each trigger with its region's evidence of the 300 s up to it, across the bins of country_burst_counts.
+    "country_burst_triggers": """WITH EV, w AS (SELECT event_id, region, t, count(CASE WHEN source_type = 'click' THEN 1 END) OVER r AS clicks, count(CASE WHEN source_type = 'error' THEN 1 END) OVER r AS errors, count(CASE WHEN source_type = 'view' THEN 1 END) OVER r AS views
+FROM ev WHERE region IS NOT NULL WINDOW r AS (PARTITION BY region ORDER BY t RANGE BETWEEN 300 PRECEDING AND CURRENT ROW))
+SELECT event_id, region, t, CAST(clicks AS BIGINT) AS clicks, CAST(errors AS BIGINT) AS errors, CAST(views AS BIGINT) AS views FROM w WHERE clicks >= 1 AND errors >= 1 AND views >= 1""",
     "conflict_thermal_like": f"""WITH EV, a AS (SELECT *, CAST(floor(t / 21600) AS BIGINT) AS c FROM ev WHERE source_type = 'signup'), b AS (SELECT *, CAST(floor(t / 21600) AS BIGINT) + d AS c FROM ev CROSS JOIN (VALUES (-1), (0), (1)) AS n(d) WHERE source_type = 'error')
 SELECT a.event_id AS trigger_id, CAST(count(*) AS BIGINT) AS evidence FROM a JOIN b ON a.c = b.c AND abs(a.t - b.t) <= 21600 WHERE {in_box("a.lat", "a.lon", "b.lat", "b.lon", 2500)} GROUP BY a.event_id HAVING count(*) >= 3""",
     "surge_cells": f"""WITH EV, h AS (SELECT {cell("lat", 20)} AS cy, {cell("lon", 20)} AS cx, CAST(floor(t / 21600) AS BIGINT) AS b, count(DISTINCT entity_id) AS n FROM ev GROUP BY {cell("lat", 20)}, {cell("lon", 20)}, CAST(floor(t / 21600) AS BIGINT)),
