@@ -16,6 +16,11 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, words.alias("words"))
 
 
+def _all_words(text: str):
+    """Different words of any length and script, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted-index join: pairs of benchmark items that share at least three tokens of five letters or more."""
     t = _tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text").select("item_id", F.explode("words").alias("w")).where(F.length("w") >= 5)
@@ -39,6 +44,21 @@ def idf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crossJoin(F.broadcast(total)).select("term", F.round(F.log(F.greatest("total", F.lit(100)) / (1 + F.col("freq"))), 6).alias("idf"))
 
 
+def idf_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term's score after all documents in order of doc_id: ln(max(total, 100) / (1 + freq)).
+
+    A document counts .9999^steps, steps being the documents after it; total sums all terms. The periodic
+    removal of negligible terms is left out. Ranks are taken in blocks of ids, and the blocks' sums added.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(_all_words("text").alias("words"), "doc_id", F.floor(F.col("doc_id") / 1024).alias("block"))
+    after = d.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(W.orderBy(F.desc("block"))) - F.col("n")).alias("later"))
+    age = F.col("later") + F.row_number().over(W.partitionBy("block").orderBy(F.desc("doc_id"))) - 1
+    weight = F.pow(F.lit(0.9999), age)
+    c = d.join(F.broadcast(after), "block").select("words", weight.alias("weight")).select(F.explode("words").alias("term"), "weight").groupBy("term").agg(F.sum("weight").alias("freq"))
+    total = c.agg(F.sum("freq").alias("total"))
+    return c.crossJoin(F.broadcast(total)).select("term", F.round(F.log(F.greatest("total", F.lit(100.0)) / (1 + F.col("freq"))), 6).alias("idf"))
+
+
 def search_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all query words, by how often they have them; the 20 best."""
     words = F.split(F.lower("text"), "[^a-z0-9]+")
@@ -96,11 +116,13 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("k = 1").select("conv_id", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"), F.col("n").alias("turns"))
 
 
+_ALL = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))"
 _T = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2))"
 SQL = {
     "token_candidates": f"WITH t AS (SELECT item_id, unnest({_T}) AS w FROM benchmark), u AS (SELECT * FROM t WHERE length(w) >= 5) SELECT a.item_id AS a_id, b.item_id AS b_id, count(*) AS shared FROM u a JOIN u b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL HAVING count(*) >= 3",
     "title_jaccard_pairs": f"WITH t AS (SELECT item_id, {_T} AS ws FROM benchmark) SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) >= 0.1",
     "idf_scores": f"WITH t AS (SELECT unnest({_T}) AS term FROM documents), c AS (SELECT term, count(*) AS freq FROM t GROUP BY term HAVING count(*) >= 20) SELECT term, round(ln(greatest((SELECT sum(freq) FROM c), 100) / (1 + freq)), 6) AS idf FROM c",
+    "idf_streaming": f"WITH p AS (SELECT text, count(*) OVER () - row_number() OVER (ORDER BY doc_id) AS age FROM documents), t AS (SELECT unnest({_ALL}) AS term, power(CAST(0.9999 AS DOUBLE), age) AS weight FROM p), c AS (SELECT term, sum(weight) AS freq FROM t GROUP BY term) SELECT term, round(ln(greatest((SELECT sum(freq) FROM c), 100) / (1 + freq)), 6) AS idf FROM c",
     "search_lexical": "WITH d AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM documents) SELECT doc_id, CAST(len(list_filter(w, lambda x: x IN ('the', 'and'))) AS BIGINT) AS score FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'and') ORDER BY score DESC, doc_id LIMIT 20",
     "similar_events_topk": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 20",
     "pairwise_coherence": "SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS coherence FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label HAVING count(DISTINCT a.vec_id) >= 4",
@@ -109,7 +131,7 @@ SQL = {
     "conversation_turns": "WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, n AS turns FROM r WHERE k = 1",
 }
 _SPARK_LINE = "WITH EV, n AS (SELECT CAST(floor((t - (AS_OF - 21600)) / 900) AS BIGINT) AS slot, count(*) AS n FROM ev WHERE t >= AS_OF - 21600 AND t < AS_OF GROUP BY ALL) SELECT s.range AS slot, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(24) s LEFT JOIN n ON s.range = n.slot"
-FRAMES = {f.__name__: f for f in (token_candidates, title_jaccard_pairs, idf_scores, search_lexical, similar_events_topk, pairwise_coherence, label_centroids, trigram_similarity, sparkline, conversation_turns)}
+FRAMES = {f.__name__: f for f in (token_candidates, title_jaccard_pairs, idf_scores, idf_streaming, search_lexical, similar_events_topk, pairwise_coherence, label_centroids, trigram_similarity, sparkline, conversation_turns)}
 
 
 def oracle() -> dict[str, str]:
