@@ -28,6 +28,14 @@ def token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("item_id").alias("a_id"), "w").join(b, "w").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted-index join: every pair of benchmark items that share a word, of any length and script, and how many. Hot words are salted."""
+    t = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(_all_words("text")).alias("w"))
+    a = t.select(F.col("item_id").alias("a_id"), "w", F.pmod(F.xxhash64("item_id"), F.lit(8)).alias("salt"))
+    b = t.select(F.col("item_id").alias("b_id"), "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("salt"))
+    return a.join(b, ["w", "salt"]).where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+
+
 def title_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-set Jaccard of benchmark items that share a token, from counts of shared tokens."""
     t = _tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text").withColumn("n", F.size("words"))
@@ -120,6 +128,7 @@ _ALL = r"list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}
 _T = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 2))"
 SQL = {
     "token_candidates": f"WITH t AS (SELECT item_id, unnest({_T}) AS w FROM benchmark), u AS (SELECT * FROM t WHERE length(w) >= 5) SELECT a.item_id AS a_id, b.item_id AS b_id, count(*) AS shared FROM u a JOIN u b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL HAVING count(*) >= 3",
+    "token_pairs": f"WITH t AS (SELECT item_id, unnest({_ALL}) AS w FROM benchmark) SELECT a.item_id AS a_id, b.item_id AS b_id, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.item_id < b.item_id GROUP BY ALL",
     "title_jaccard_pairs": f"WITH t AS (SELECT item_id, {_T} AS ws FROM benchmark) SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) >= 0.1",
     "idf_scores": f"WITH t AS (SELECT unnest({_T}) AS term FROM documents), c AS (SELECT term, count(*) AS freq FROM t GROUP BY term HAVING count(*) >= 20) SELECT term, round(ln(greatest((SELECT sum(freq) FROM c), 100) / (1 + freq)), 6) AS idf FROM c",
     "idf_streaming": f"WITH p AS (SELECT text, count(*) OVER () - row_number() OVER (ORDER BY doc_id) AS age FROM documents), t AS (SELECT unnest({_ALL}) AS term, power(CAST(0.9999 AS DOUBLE), age) AS weight FROM p), c AS (SELECT term, sum(weight) AS freq FROM t GROUP BY term) SELECT term, round(ln(greatest((SELECT sum(freq) FROM c), 100) / (1 + freq)), 6) AS idf FROM c",
@@ -131,7 +140,7 @@ SQL = {
     "conversation_turns": "WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, n AS turns FROM r WHERE k = 1",
 }
 _SPARK_LINE = "WITH EV, n AS (SELECT CAST(floor((t - (AS_OF - 21600)) / 900) AS BIGINT) AS slot, count(*) AS n FROM ev WHERE t >= AS_OF - 21600 AND t < AS_OF GROUP BY ALL) SELECT s.range AS slot, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(24) s LEFT JOIN n ON s.range = n.slot"
-FRAMES = {f.__name__: f for f in (token_candidates, title_jaccard_pairs, idf_scores, idf_streaming, search_lexical, similar_events_topk, pairwise_coherence, label_centroids, trigram_similarity, sparkline, conversation_turns)}
+FRAMES = {f.__name__: f for f in (token_candidates, token_pairs, title_jaccard_pairs, idf_scores, idf_streaming, search_lexical, similar_events_topk, pairwise_coherence, label_centroids, trigram_similarity, sparkline, conversation_turns)}
 
 
 def oracle() -> dict[str, str]:

@@ -17,3 +17,9 @@ def test_idf_of_rare_terms_decays(spark, tmp_path):
         for w in {*(t or "").lower().split()}:
             freq[w] = freq.get(w, 0) + 1
     assert got == pytest.approx({k: math.log(max(sum(freq.values()), 100) / (1 + v)) for k, v in freq.items()}, abs=1e-6)
+
+
+def test_pairs_of_one_short_word(spark, tmp_path):
+    spark.createDataFrame([(1, "Été a"), (2, "été b"), (3, "c, A!"), (4, None), (5, "t")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.a_id, r.b_id, r.shared) for r in catalogue.queries()["token_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 1), (1, 3, 1)]
