@@ -1,9 +1,9 @@
 """Operator 9: Merkle fingerprints of documents: leaves in paragraphs in sections under a root.
 
 A leaf is a run of words of one paragraph (line), ended by a word whose hash is 0 modulo 8, so an edit
-moves no other leaf's boundary. A section is a run of paragraphs, ended likewise by a paragraph's hash.
+moves no other leaf's boundary; a longer one is cut by its bytes, so that its length fits. A section is a run of paragraphs, ended likewise by a paragraph's hash.
 A fingerprint is the root in hex, a colon, and one record of 8 bytes a leaf in base64: 48 bits of the
-leaf's hash, 14 of its length in bytes (capped), one each that say a paragraph or a section ends there.
+leaf's hash, 14 of its length in bytes, one each that say a paragraph or a section ends there.
 Paragraph and section nodes follow from the records, so two fingerprints can be compared branch by branch.
 """
 
@@ -25,6 +25,26 @@ LEAF_WORDS, SECTION_PARAGRAPHS = np.uint64(8), np.uint64(4)
 _LENGTH = np.uint64((1 << 14) - 1)
 
 
+#: A leaf too long for its record is cut where the hash of so many bytes is 0 modulo CUT, at the latest where it must be.
+CUT_BYTES, CUT = 16, np.uint64(2048)
+
+
+def cuts(sums: np.ndarray, begin: int, stop: int) -> list[int]:
+    """Ends of the pieces of a leaf that is too long, all but the last."""
+    ends = np.arange(begin + CUT_BYTES, stop)
+    ends = ends[C.mix(C.span_hash(sums, ends - CUT_BYTES, ends)) % CUT == 0]
+    out, at, most = [], begin, int(_LENGTH)
+    for end in [*ends.tolist(), stop]:
+        while end - at > most:
+            at += most
+            out.append(at)
+        # No piece is shorter than the bytes that decide, so that runs of one letter aren't cut at each.
+        if end < stop and end - at >= CUT_BYTES:
+            out.append(end)
+            at = end
+    return out
+
+
 def leaves(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Records of all leaves, and each document's first. A leaf reaches to where the next one starts."""
     starts, ends, first_word = C.word_spans(data, offs)
@@ -45,16 +65,25 @@ def leaves(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stop = np.where(doc_end[last], offs[doc_of + 1], next_start[last])
     begin = np.append(0, stop[:-1])
     begin = np.maximum(begin, offs[doc_of])
+    first_leaf = np.searchsorted(last, first_word)
+    of_paragraph, ends_doc = paragraph_end[last], doc_end[last]
+    long = np.flatnonzero(stop - begin > int(_LENGTH))
+    if len(long):
+        more = [cuts(sums, int(begin[i]), int(stop[i])) for i in long]
+        sizes = [len(x) for x in more]
+        at, ends = np.repeat(long, sizes), np.concatenate([np.array(x, np.int64) for x in more])
+        first_leaf = first_leaf + np.searchsorted(at, first_leaf)
+        stop, of_paragraph, ends_doc = np.insert(stop, at, ends), np.insert(of_paragraph, at, False), np.insert(ends_doc, at, False)
+        begin = np.insert(begin, at + 1, ends)
     hashes = C.span_hash(sums, begin, stop)
-    of_paragraph = paragraph_end[last]
     p_last = np.flatnonzero(of_paragraph)
     p_first = np.append(0, p_last[:-1] + 1)
     paragraphs = C.span_hash(C.prefix_sums(hashes), p_first, p_last + 1)
-    section = np.zeros(len(last), bool)
-    section[p_last] = (paragraphs % SECTION_PARAGRAPHS == 0) | doc_end[last[p_last]]
-    record = (hashes & ~np.uint64(0xFFFF)) | (np.minimum((stop - begin).astype(np.uint64), _LENGTH) << np.uint64(2))
+    section = np.zeros(len(hashes), bool)
+    section[p_last] = (paragraphs % SECTION_PARAGRAPHS == 0) | ends_doc[p_last]
+    record = (hashes & ~np.uint64(0xFFFF)) | ((stop - begin).astype(np.uint64) << np.uint64(2))
     record |= of_paragraph.astype(np.uint64) << np.uint64(1) | section.astype(np.uint64)
-    return record, np.searchsorted(last, first_word)
+    return record, first_leaf
 
 
 def roots(record: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -108,20 +137,41 @@ def likeness(ra: np.ndarray, fa: np.ndarray, rb: np.ndarray, fb: np.ndarray) ->
 def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """Where fingerprint b differs from a: (first byte, byte after) in a's text, then in b's. Equal roots: nowhere.
 
-    Equal sections, then paragraphs, then leaves at either end are skipped branch by branch.
+    Equal sections are skipped, then equal paragraphs of the others, then equal leaves of those.
     """
     if a.split(":")[0] == b.split(":")[0]:
         return []
     import difflib
 
     def tree(x):
+        """(hashes, first leaves) of sections, paragraphs and leaves, and the leaves' byte offsets."""
         r = np.frombuffer(base64.b64decode(x.split(":")[1]), ">u8").astype(np.uint64)
-        size = ((r >> np.uint64(2)) & _LENGTH).astype(int)
-        return r, np.concatenate([[0], np.cumsum(size)])
+        hashes, levels = r >> np.uint64(16), []
+        for flag in (1, 2):
+            ends = np.flatnonzero(r & np.uint64(flag)) + 1
+            firsts = np.append(0, ends)[:-1]
+            levels.append((C.span_hash(C.prefix_sums(hashes), firsts, ends).tolist(), np.append(firsts, len(r))))
+        levels.append((hashes.tolist(), np.arange(len(r) + 1)))
+        return levels, np.concatenate([[0], np.cumsum(((r >> np.uint64(2)) & _LENGTH).astype(int))])
+
+    (la, oa), (lb, ob) = tree(a), tree(b)
+    out = []
 
-    (ra, oa), (rb, ob) = tree(a), tree(b)
-    matcher = difflib.SequenceMatcher(None, (ra >> np.uint64(16)).tolist(), (rb >> np.uint64(16)).tolist(), autojunk=False)
-    return [(int(oa[i]), int(oa[j]), int(ob[k]), int(ob[m])) for op, i, j, k, m in matcher.get_opcodes() if op != "equal"]
+    def descend(level, i, j, k, m):
+        """What differs between a's leaves i to j and b's leaves k to m, both whole nodes of the level."""
+        (ha, fa), (hb, fb) = la[level], lb[level]
+        (i, j), (k, m) = np.searchsorted(fa, (i, j)), np.searchsorted(fb, (k, m))
+        for op, p, q, s, t in difflib.SequenceMatcher(None, ha[i:j], hb[k:m], autojunk=False).get_opcodes():
+            if op == "equal":
+                continue
+            at = int(fa[i + p]), int(fa[i + q]), int(fb[k + s]), int(fb[k + t])
+            if op == "replace" and level < 2:
+                descend(level + 1, *at)
+            else:
+                out.append((int(oa[at[0]]), int(oa[at[1]]), int(ob[at[2]]), int(ob[at[3]])))
+
+    descend(0, 0, len(oa) - 1, 0, len(ob) - 1)
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

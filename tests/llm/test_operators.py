@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from fusewright.llm import common as C
 from fusewright.llm import decontaminate, fingerprint, html, jaccard, language, repeats, suffixes, tokens, toxicity
 
 BASE = "the quick brown fox jumps over the lazy dog while nine old wizards quietly mix seven jars of very fine amber honey today before noon comes again"
@@ -152,6 +154,36 @@ def test_fingerprints(docs, none):
     assert fingerprint.compare_edits(none).count() == 0
 
 
+def test_edits_after_long_runs():
+    rnd = random.Random(2)
+    unspaced = "".join(rnd.choices("abcdefghij", k=70_000))
+    for run in (unspaced, "é" * 30_000, "word " * 20_000):
+        lines = [" ".join(rnd.choices(BASE.split(), k=40)) for _ in range(60)]
+        a = "\n".join([lines[0], run, *lines[1:]])
+        b = "\n".join([lines[0], run, *lines[1:30], "an inserted line", *lines[30:45], "changed " + lines[45], *lines[46:]])
+        prints, sizes = [], []
+        for x in ("first of all", a, "", b, run):
+            data, offs = C.utf8(pa.array(["before it", x, "after it"], pa.large_string()))
+            record, first = fingerprint.leaves(data, offs)
+            sizes.append([int(((record[i:j] >> 2) & 16383).sum()) for i, j in zip(first[:-1], first[1:], strict=True)])
+            assert sizes[-1] == [9, len(x.encode()), 8]
+            prints.append(fingerprint.compose(record, first, data, offs)[1])
+        p, q = a.encode(), b.encode()
+        found = fingerprint.differing(prints[1], prints[3])
+        at, out = 0, b""
+        for i, j, k, m in found:
+            out += p[at:i] + q[k:m]
+            at = j
+        assert out + p[at:] == q and 2 <= len(found) and sum(j - i for i, j, _, _ in found) < 1000
+        assert fingerprint.differing(prints[1], prints[1]) == [] and fingerprint.differing(prints[2], prints[1]) == [(0, 0, 0, len(p))]
+    edited = unspaced[:20_000] + "an edit" + unspaced[20_000:]
+    whole = []
+    for x in (unspaced, edited):
+        data, offs = C.utf8(pa.array([x], pa.large_string()))
+        whole.append(fingerprint.leaves(data, offs))
+    assert fingerprint.likeness(*whole[0], *whole[1])[0] > 0.7
+
+
 def test_html():
     page = '<html><head><title>T</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two\n three<p>four</article><div class="comments">x</div><footer>f</footer>'
     assert html.main_text(page) == "A & B\none two three\nfour"
