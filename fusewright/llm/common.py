@@ -16,18 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at a time (a longer document is a step of its own).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD2 = np.uint64(0xD1342543DE82EF95)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="fusewright-")
         atexit.register(shutil.rmtree, path, True)
@@ -35,31 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of fewer rows: with whole texts in them, the default's take too much of an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_SCOPES: list[list[str]] = []
 
 
-_WRITTEN: list[str] = []
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Notes the paths of the tables that materialize() writes meanwhile, those of inner scopes apart, for release()."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() wrote without keep: for when what was made of them is itself written."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that materialize() wrote, and only these: for when what was made of them is itself written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files of the write are released as soon as it is done.
+    The shuffle files of the write are released as soon as it is done. keep: not noted in the open scope.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not keep:
-        _WRITTEN.append(path)
+    if not keep and _SCOPES:
+        _SCOPES[-1].append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -109,8 +115,8 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, rows: int = 1 << 62) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches whose texts take about `limit` bytes, of `rows` rows at most, with their bytes and offsets."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES, rows: int = 1 << 62, back: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches whose texts take about `limit` bytes, of `rows` rows at most, with their bytes and offsets. back: freed memory is given back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -121,7 +127,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
         del data, offs
-    trim()
+    if back:
+        trim()
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -216,6 +223,42 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+_CODECS: list = []
+
+
+def codecs():
+    """A compressor and a decompressor, one of each for a process."""
+    if not _CODECS:
+        import zstandard
+
+        _CODECS.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _CODECS
+
+
+def blob(*columns: np.ndarray) -> bytes:
+    """Columns of one length as compressed bytes: the n-th bytes of all values stand together."""
+    raw = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return codecs()[0].compress(b"".join(raw))
+
+
+def unblob(x: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
+    """The columns of a blob, given their types."""
+    raw = np.frombuffer(codecs()[1].decompress(x), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).view(k).reshape(n))
+        at += n * w
+    return out
+
+
+def prime_from(n: int) -> int:
+    """The least prime that is n or more."""
+    while n < 2 or any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 

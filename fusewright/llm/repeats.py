@@ -4,8 +4,6 @@ Consecutive windows that share a minimiser (the least hash of an m-gram in the w
 one packed string to the bucket of that minimiser; equal windows share the minimiser, so they meet
 in one bucket, where sorting finds each window's earliest start. Only windows of documents move,
 never pairs, and copies within a map chunk are settled before the shuffle.
-
-Operator 4 has words as units; operator 6 (suffixes.py) has bytes.
 """
 
 from __future__ import annotations
@@ -18,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusewright.llm import common as C
+from fusewright.llm import rows as K
 
-SEGMENTS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-SPANS = pa.schema([("doc_id", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
-SEGMENTS_DDL = "bucket int, packed binary, doc_id long, start int, n int"
-SPANS_DDL = "doc_id long, s long, e long"
+SEGMENTS = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("key", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+SEGMENTS_DDL = "bucket int, packed binary, key long, tie long, start int, n int"
+#: Different windows of one bucket that are kept at a time; from there on they are told apart one by one, by Spark's sort.
+BUCKET = 1 << 21
 
 
 class Packer:
@@ -97,78 +96,75 @@ def short(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def cut(k: int, m: int, words: bool, packs: Packer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cut(k: int, m: int, packs: Packer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map side: documents to super-k-mers. A row without packed string is a run that is known to start earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in C.chunks(batches, "text"):
             if not len(data):
                 continue
-            if words:
-                starts, ends, firsts = C.word_spans(data, offs)
-                values = C.word_hashes(data, starts, ends)
-            else:
-                starts, ends, firsts = None, None, offs
-                values = data.astype(np.uint64) + np.uint64(1)
+            starts, ends, firsts = C.word_spans(data, offs)
+            values = C.word_hashes(data, starts, ends)
             n = len(values)
             if n < k:
                 continue
             sums = C.prefix_sums(values)
             valid = whole_windows(firsts, n, k)
-            first, last, key = super_kmers(C.rolling_hash(sums, m), valid, k, m)
+            first, last, least = super_kmers(C.rolling_hash(sums, m), valid, k, m)
             if not len(first):
                 continue
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.searchsorted(firsts, first, "right") - 1
-            doc, begin, count = ids[row], first - firsts[row], last - first + 1
+            key, tie = (part.column(c).to_numpy()[row] for c in ("key_", "tie_"))
+            begin, count = first - firsts[row], last - first + 1
             content = C.span_hash(sums, first, last + k)
-            order = np.lexsort((begin, doc, content))
+            order = np.lexsort((begin, tie, key, content))
             head = np.ones(len(order), bool)
             head[1:] = content[order[1:]] != content[order[:-1]]
             lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            later = (doc[order] != doc[lead]) | (begin[order] != begin[lead])
+            later = (key[order] != key[lead]) | (tie[order] != tie[lead]) | (begin[order] != begin[lead])
             keep, known = order[head], order[later]
             keep.sort()
-            a = starts[first[keep]] if words else first[keep]
-            b = ends[last[keep] + k - 1] if words else last[keep] + k
             raw = data.tobytes()
-            packed = pa.array(packs.pack([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), pa.binary())
-            yield C.batch(SEGMENTS, short(key[keep]), packed, C.as_long(doc[keep]), begin[keep], np.zeros(len(keep), np.int32))
+            packed = pa.array(packs.pack([raw[x:y] for x, y in zip(starts[first[keep]].tolist(), ends[last[keep] + k - 1].tolist(), strict=True)]), pa.binary())
+            yield C.batch(SEGMENTS, short(least[keep]), packed, C.as_long(key[keep]), C.as_long(tie[keep]), begin[keep], np.zeros(len(keep), np.int32))
             if len(known):
-                spread = C.mix(doc[known].astype(np.uint64))
-                yield C.batch(SEGMENTS, short(spread), pa.nulls(len(known), pa.binary()), C.as_long(doc[known]), begin[known], count[known])
+                key, tie, s, e = K.coalesced(key[known], tie[known], begin[known], begin[known] + count[known] - 1 + k)
+                spread = C.mix(key.astype(np.uint64))
+                yield C.batch(SEGMENTS, short(spread), pa.nulls(len(s), pa.binary()), C.as_long(key), C.as_long(tie), s, e - s)
 
     return run
 
 
-def spans_of(flag: np.ndarray, row: np.ndarray, doc: np.ndarray, start: np.ndarray, k: int) -> pa.RecordBatch:
-    """Runs of flagged windows of one row as spans of units."""
+def spans_of(flag: np.ndarray, row: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of flagged windows of one row as spans of units: their first windows' places, starts and ends."""
     on = flag.copy()
     on[1:] &= ~(flag[:-1] & (row[1:] == row[:-1]))
     off = flag.copy()
     off[:-1] &= ~(flag[1:] & (row[1:] == row[:-1]))
     a, b = np.flatnonzero(on), np.flatnonzero(off)
-    return C.batch(SPANS, C.as_long(doc[a]), C.as_long(start[a]), C.as_long(start[b] + k))
+    return a, start[a], start[b] + k
 
 
-def settle(k: int, packs: Packer, identify: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def settle(k: int, parts: int, packs: Packer, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Bucket side. Rows come ordered by bucket, document and start, so the first of equal windows is the earliest.
 
-    identify: packed strings to two hashes for each window, and each string's first window. What is
-    carried from batch to batch are the different windows of the bucket that is still open.
+    What is carried from batch to batch are the different windows of the bucket that is still open, up to
+    `most`; with more, the bucket's windows from there on are passed on one by one (ALONE).
     """
+    identify = identify_words(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bucket = None
-        carry = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        open_bucket, over, found = None, False, K.Gathered(parts)
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+        carry = none
         for b in batches:
             if not b.num_rows:
                 continue
             is_known = b.column("packed").is_null().to_numpy(zero_copy_only=False)
             if is_known.any():
                 t = b.filter(pa.array(is_known))
-                s = t.column("start").to_numpy()
-                yield C.batch(SPANS, t.column("doc_id"), C.as_long(s), C.as_long(s + t.column("n").to_numpy() - 1 + k))
+                s = t.column("start").to_numpy().astype(np.int64)
+                yield from found.add(t.column("key").to_numpy(), t.column("tie").to_numpy(), s, s + t.column("n").to_numpy())
                 b = b.filter(pa.array(~is_known))
                 if not b.num_rows:
                     continue
@@ -176,12 +172,19 @@ def settle(k: int, packs: Packer, identify: Callable[[np.ndarray, np.ndarray], t
             data, offs = packs.unpack(b.column("packed"))
             h1, h2, lead = identify(data, offs)
             row = np.repeat(np.arange(b.num_rows), np.diff(lead))
-            doc = b.column("doc_id").to_numpy()[row]
+            key, tie = (b.column(c).to_numpy()[row] for c in ("key", "tie"))
             start = b.column("start").to_numpy().astype(np.int64)[row] + (np.arange(len(row)) - lead[row])
             if open_bucket != bucket[0]:
-                carry = [x[:0] for x in carry]
+                carry, over = none, False
+            if over:
+                of = bucket[row] == open_bucket
+                yield C.batch(K.STEP, [K.ALONE], [0], [C.blob(h1[of], h2[of], key[of], tie[of], start[of].astype(np.int32))])
+                if bucket[-1] == open_bucket:
+                    continue
+                h1, h2, key, tie, start, row = (x[~of] for x in (h1, h2, key, tie, start, row))
+                over = False
             old = len(carry[0])
-            h1, h2, doc, start = (np.concatenate(p) for p in zip(carry, (h1, h2, doc, start), strict=True))
+            h1, h2, key, tie, start = (np.concatenate(p) for p in zip(carry, (h1, h2, key, tie, start), strict=True))
             order = np.argsort(h1, kind="stable")
             a, c = h1[order], h2[order]
             if ((a[1:] == a[:-1]) & (c[1:] != c[:-1])).any():
@@ -191,14 +194,18 @@ def settle(k: int, packs: Packer, identify: Callable[[np.ndarray, np.ndarray], t
             head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
             flag = np.zeros(len(order), bool)
-            flag[order] = (doc[order] != doc[first]) | (start[order] != start[first])
-            yield spans_of(flag[old:], row, doc[old:], start[old:], k)
+            flag[order] = (key[order] != key[first]) | (tie[order] != tie[first]) | (start[order] != start[first])
+            at, s, e = spans_of(flag[old:], row, start[old:], k)
+            yield from found.add(key[old:][at], tie[old:][at], s, e)
+            stays = np.concatenate([np.full(old, bucket[-1] == open_bucket), (bucket == bucket[-1])[row]])
             open_bucket = bucket[-1]
             kept = np.sort(order[head])
-            stays = np.ones(old, bool) if open_bucket == bucket[0] else np.zeros(old, bool)
-            stays = np.concatenate([stays, (bucket == open_bucket)[row]])
             kept = kept[stays[kept]]
-            carry = [h1[kept], h2[kept], doc[kept], start[kept]]
+            carry = [h1[kept], h2[kept], key[kept], tie[kept], start[kept]]
+            if len(kept) > most:
+                yield C.batch(K.STEP, [K.ALONE], [0], [C.blob(*carry[:4], carry[4].astype(np.int32))])
+                carry, over = none, True
+        yield from found.flush()
         C.trim()
 
     return run
@@ -217,64 +224,75 @@ def identify_words(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int, m: int, words: bool, resolve) -> DataFrame:
-    """(doc_id, s, e): spans of units covered by windows that also start earlier, written in the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+def repeated_spans(rows: DataFrame, k: int, m: int, parts: int, most: int) -> DataFrame:
+    """Notes (key, tie, s, e) on rows (key_, tie_, text): spans of words covered by windows that also start earlier, written in the shared folder."""
+    rows = rows.where("key_ is not null and text is not null").select("key_", "tie_", "text")
     packs = packer(rows)
-    cut_rows = rows.mapInArrow(cut(k, m, words, packs), SEGMENTS_DDL)
-    spans = cut_rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "start").mapInArrow(resolve(packs), SPANS_DDL)
-    return C.materialize(spans, "spans")
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents with their spans as an array column `spans` (null if none)."""
-    spans = spans.where("doc_id is not null")
-    each = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return docs.join(each, "doc_id", "left")
-
-
-def merged(spans) -> list[tuple[int, int]]:
-    """Sorted, overlapping or touching spans joined."""
-    out: list[list[int]] = []
-    for x in sorted((x["s"], x["e"]) for x in spans or ()):
-        if out and x[0] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], x[1])
-        else:
-            out.append([*x])
-    return [(a, b) for a, b in out]
-
-
-def rebuilt(joined: DataFrame, fields: list[tuple[str, str]], make) -> DataFrame:
-    """The columns of joined but `spans`, and the fields that make(text, spans) gives for each row."""
-    names = [f.name for f in joined.schema if f.name not in ("spans", *(n for n, _ in fields))]
-    empty = joined.select(*(F.col(f"`{n}`") for n in names), *(F.lit(None).cast(t).alias(n) for n, t in fields))
+    cut_rows = rows.mapInArrow(cut(k, m, packs), SEGMENTS_DDL)
+    dealt = cut_rows.repartition("bucket").sortWithinPartitions("bucket", "key", "tie", "start")
+    steps = C.materialize(dealt.mapInArrow(settle(k, parts, packs, most), K.STEPS), "spans")
+    spans = steps.where(F.col("kind") == K.NOTE)
+    if not steps.where(F.col("kind") == K.ALONE).isEmpty():
+        spans = C.materialize(spans.unionByName(K.windows_alone(steps, k, parts)), "spans")
+    return spans.select("bucket", "blob")
+
+
+def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """Spans in order of their starts, overlapping or touching ones joined."""
+    if len(s) < 2:
+        return [*zip(s.tolist(), e.tolist(), strict=True)]
+    far = np.maximum.accumulate(e)
+    begin = np.flatnonzero(np.append(True, s[1:] > far[:-1]))
+    return [*zip(s[begin].tolist(), far[np.append(begin[1:], len(s)) - 1].tolist(), strict=True)]
+
+
+def rebuilt(docs: DataFrame, rows: DataFrame, spans: DataFrame, fields: list[tuple[str, str]], make: Callable) -> DataFrame:
+    """The columns of docs but those of the fields, and the fields that make(text as bytes or None, merged spans) gives for each row."""
+    made = [n for n, _ in fields]
+    names = [c for c in docs.columns if c not in made]
+    empty = docs.select(*(F.col(f"`{n}`") for n in names), *(F.lit(None).cast(t).alias(n) for n, t in fields)).schema
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, _ in C.chunks(batches, "text"):
-            made = [make(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)]
-            cols = [part.column(n) for n in names] + [pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*made, strict=True), fields, strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(n for n, _ in fields)])
-
-    return joined.mapInArrow(run, empty.schema)
-
-
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 4, layout: bool = False) -> DataFrame:
+    taken = [f"c{i}" for i, c in enumerate(docs.columns) if c in names and c != "text"]
+    text, docs_at = "text", {c: i for i, c in enumerate(docs.columns)}
+
+    def prepare(own):
+        key, tie, s, e = own
+        h = K.place_key(key, tie)
+        order = np.lexsort((s, h))
+        return h[order], s[order].astype(np.int64), e[order].astype(np.int64)
+
+    def handle(own, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        h, s, e = own
+        for piece, data, offs in C.chunks(iter([part]), text, back=False):
+            no_key = piece.column("key_").is_null().to_numpy(zero_copy_only=False)
+            mine = K.place_key(piece.column("key_").fill_null(0).to_numpy(), piece.column("tie_").to_numpy())
+            lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+            hi[no_key] = lo[no_key]
+            raw, null = data.tobytes(), piece.column(text).is_null().to_pylist()
+            out = [make(None if null[i] else raw[offs[i] : offs[i + 1]], merged(s[lo[i] : hi[i]], e[lo[i] : hi[i]])) for i in range(piece.num_rows)]
+            cols = [piece.column(text if c == text else f"c{docs_at[c]}") for c in names] + [pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *made])
+
+    return K.meet(rows, spans, K.SPANS, prepare, lambda: (handle, lambda: iter(())), empty, [*taken, text])
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 4, layout: bool = False, bucket_windows: int = BUCKET) -> DataFrame:
     """The rows of docs plus n_words, n_removed and kept (the text of the words that stay).
 
     Each word covered by a window of `window` words whose word sequence also starts earlier is removed;
     kept words are joined by one space. With layout a text that loses nothing stays as it is. Null text:
-    no words, kept is null. Rows without doc_id lose nothing. Rows that share a doc_id count as one
-    document: what one loses, the others lose at the same place, and a repeated row is no earlier start.
-    Other columns pass unchanged; columns with the names of the new ones are replaced.
+    no words, kept is null. Rows without doc_id lose nothing. Rows that share a doc_id but not the text are
+    documents of their own, ordered by a hash of the text; a repeated row is no earlier start. An empty
+    table gives an empty one. Other columns pass unchanged; columns with the names of the new ones are replaced.
     """
-    spans = repeated_spans(docs, window, gram, True, lambda packs: settle(window, packs, identify_words(window)))
-
-    def make(text, spans_):
-        words = text.encode().split() if text is not None else []
-        cut_ = merged(spans_)
-        if text is None or layout and not cut_:
-            return len(words), 0, text
+    parts = K.buckets(docs)
+    rows = K.keyed(docs, parts)
+    spans = repeated_spans(rows, window, gram, parts, bucket_windows)
+
+    def make(raw, cut_):
+        words = raw.split() if raw is not None else []
+        if raw is None or layout and not cut_:
+            return len(words), 0, raw if raw is None else raw.decode()
         left, at = [], 0
         for a, b in cut_:
             left += words[at:a]
@@ -282,4 +300,4 @@ def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 4, layout: bo
         left += words[at:]
         return len(words), len(words) - len(left), b" ".join(left).decode()
 
-    return rebuilt(with_spans(docs, spans), [("n_words", "long"), ("n_removed", "long"), ("kept", "string")], make)
+    return rebuilt(docs, rows, spans, [("n_words", "long"), ("n_removed", "long"), ("kept", "string")], make)
