@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fusewright.llm import common as C
 from fusewright.llm import decontaminate, jaccard, language, repeats, tokens
+from fusewright.llm import rows as K
 
 
 def _aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -27,9 +28,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (5): of each group of linked documents (five-word shingles, 0.8) the one with the least doc_id stays. Rows without doc_id go, repeated ids stay once."""
-    first = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """N-gram Jaccard join (5): of each group of linked documents (five-word shingles, 0.8) the one with the least doc_id stays.
+
+    Rows without doc_id, and rows that share one but not the text, are documents of their own that yield to those
+    with an id of their own; of them the one with the least hash stays. Of repeated rows one stays.
+    """
+    # Ids of one's own are told by keyed(); other documents get a hash, beyond all of these but in 2 ** -62 of cases.
+    hashed = F.xxhash64("key_", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    each = K.keyed(docs, 1).withColumn("id_", F.when(F.col("key_").isNull() | (F.col("tie_") != 0), hashed).otherwise(F.col("key_")))
+    first = jaccard.jaccard_components(each.select(F.col("id_").alias("doc_id"), "text"), words=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("id_")).distinct()
+    kept = each.drop("text").join(first, "id_", "left_semi").dropDuplicates(["id_"])
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,23 +61,39 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return tokens.pack(docs.select("doc_id", "text"), size=4096)
 
 
-def _bounded(stage):
-    """The stage with Arrow batches that suit whole texts: stages run one after another in the same workers."""
+#: Tables that the stage before wrote for itself; its rows are written by the time that the next one is called.
+_BEFORE: list[str] = []
+
+
+def _releasing(stage):
+    """The stage, after it has deleted what the stage before it wrote for itself, and nothing else."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.release(spark, _BEFORE)
+        with C.scope() as own:
+            out = stage(spark, docs, sf_dir)
+        _BEFORE.extend(own)
+        return out
+
+    return run_stage
+
+
+def _last(stage):
+    """As _releasing, but the stage's own tables stay: its rows are the result, which may be read again."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        C.small_batches(spark)
-        C.release(spark)  # what the stages before wrote for themselves; their rows are written by now
+        C.release(spark, _BEFORE)
         return stage(spark, docs, sf_dir)
 
     return run_stage
 
 
 STAGES = [
-    ("language_id", _bounded(identify_language)),
-    ("near_duplicates", _bounded(drop_near_duplicates)),
-    ("substring_dedup", _bounded(remove_repeated_passages)),
-    ("decontamination", _bounded(drop_contaminated)),
-    ("packing", _bounded(pack_sequences)),
+    ("language_id", _releasing(identify_language)),
+    ("near_duplicates", _releasing(drop_near_duplicates)),
+    ("substring_dedup", _releasing(remove_repeated_passages)),
+    ("decontamination", _releasing(drop_contaminated)),
+    ("packing", _last(pack_sequences)),
 ]
 
 #: The tokenizer's ids can't be expressed in SQL; the pipeline is tested against a brute-force version.
