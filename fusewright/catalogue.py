@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fusewright.operators import clues, feeds, relational, scalars, text_vector, texts, upkeep
+from fusewright.operators import clues, feeds, relational, scalars, text_vector, texts, upkeep, worked, worked_situations
 from fusewright.plans import dialect
 
 
@@ -24,8 +24,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_relational, name=n) for n in RELATIONAL} | text_vector.FRAMES | texts.FRAMES | clues.FRAMES
+    return {n: partial(_relational, name=n) for n in RELATIONAL} | text_vector.FRAMES | texts.FRAMES | clues.FRAMES | worked.frames() | worked_situations.frames()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: dialect.render(t) for n, t in RELATIONAL.items()} | text_vector.oracle() | texts.SQL | clues.SQL
+    return {n: dialect.render(t) for n, t in RELATIONAL.items()} | text_vector.oracle() | texts.SQL | clues.SQL | worked.oracle() | worked_situations.oracle()
