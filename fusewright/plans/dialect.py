@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,19 @@ _EVENTS = re.compile(r"\bEV\b")
 _EPOCH = re.compile(r"EPOCH\((\w+)\)")
 
 
+#: Bounds on an event's time relative to AS_OF.
+_BOUND = re.compile(r"\bt (>=|<|>) AS_OF(?: - (\d+))?")
+
+
+def _bound(m: re.Match) -> str:
+    """The bound on t, and the same on the stored column, which a scan can prune by."""
+    at = AS_OF - int(m[2] or 0) + (m[1] == ">")
+    sign = ">=" if m[1] == ">" else m[1]
+    return f"(t {sign} {at} AND ts {sign} TIMESTAMP_NTZ '{datetime.fromtimestamp(at, UTC):%Y-%m-%d %H:%M:%S}')"
+
+
 def expand(text: str) -> str:
-    return _EVENTS.sub(lambda _: CANONICAL, text.replace("AS_OF", str(AS_OF)))
+    return _EVENTS.sub(lambda _: CANONICAL, _BOUND.sub(_bound, text).replace("AS_OF", str(AS_OF)))
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -7,7 +7,7 @@ Times are seconds since the epoch, so that no session time zone enters a result.
 AS_OF = 1706486400
 
 CANONICAL = """ev AS (
-  SELECT event_id, EPOCH(ts) AS t, event_type AS source_type, CAST(event_id AS STRING) AS source_id,
+  SELECT event_id, ts, EPOCH(ts) AS t, event_type AS source_type, CAST(event_id AS STRING) AS source_id,
          CAST(user_id AS STRING) AS entity_id,
          CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'r' || CAST(user_id % 5 AS STRING) END AS region,
          CASE WHEN event_type = 'error' THEN 'high' WHEN value >= 80 THEN 'medium' WHEN value >= 40 THEN 'low' ELSE 'info' END AS severity,
