@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 
@@ -14,6 +15,7 @@ from fusewright.operators import graphs
 from fusewright.operators.worked import expected_sql
 from fusewright.rules import airspace
 from fusewright.situations import tracking
+from fusewright.sources import wire
 
 c = F.col
 CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], str, list]] = {}
@@ -326,6 +328,90 @@ def _(spark):
     return tracking.nearest(spark.createDataFrame(rows, "id long, vector array<double>"), [3.0, 0.0], 5, 0.5).select("id", F.round("similarity", 9).alias("similarity"))
 
 
+def _bodies(spark, *texts):
+    return spark.createDataFrame([(t,) for t in texts], "body string")
+
+
+@case(
+    "wire_opensky",
+    "source_id string, entity_name string, severity string, region_code string, latitude double, tags string",
+    [("ae01", "RCH12", "medium", "western-europe", 50.0, "military"), ("3c6f", None, "low", "oceania", -30.5, "")],
+)
+def _(spark):
+    states = [
+        ["ae01", "RCH12  ", "United States", 1, 2, 10.0, 50.0, 900.0, False, 200.5, 90, 0, None, 950.0, "7700"],
+        ["3c6f", "", "Germany", 1, 2, "150", "-30.5", None, True, None, None, None, None, None, None],
+        ["none", "X", "Y", 1, 2, None, 50.0, 900.0, False, 200.5, 90, 0, None, 950.0, "7700"],
+        ["short", "X", "Y", 1, 2, 10.0, 50.0],
+    ]
+    out = wire.opensky(_bodies(spark, json.dumps({"time": 1, "states": states}), '{"states": null}', "not json"))
+    return out.select("source_id", "entity_name", "severity", "region_code", "latitude", F.array_join("tags", "|").alias("tags"))
+
+
+@case(
+    "wire_bgp",
+    "entity_id string, title string, region_code string, time_s long",
+    [
+        ("AS12880", "BGP withdrawal: AS12880 prefix 10.0.0.0/8", "middle-east", 1000),
+        ("AS12880", "BGP withdrawal: AS12880 prefix 10.0.0.0/8", "middle-east", 1300),
+        ("AS12880", "BGP withdrawal: AS12880 prefix 11.0.0.0/8", "middle-east", 1000),
+        ("AS12389", "BGP withdrawal: AS12389 prefix 12.0.0.0/8", "eastern-europe", 1000),
+    ],
+)
+def _(spark):
+    def message(at, peer, path, prefixes, kind="ris_message"):
+            return json.dumps({"type": kind, "data": {"timestamp": at, "peer": "p", "peer_asn": peer, "host": "h", "path": path, "withdrawals": prefixes}})
+
+    rows = [
+        message(1000, "12880", [12389], ["10.0.0.0/8", "11.0.0.0/8"]),
+        message(1100, "12880", [], ["10.0.0.0/8"]),  # again within the window
+        message(1300, "12880", [], ["10.0.0.0/8"]),
+        message(1000, "7", [1, 12389, 12880], ["12.0.0.0/8"]),
+        message(1000, "7", [1, 2], ["13.0.0.0/8"]),  # not monitored
+        message(1000, "12880", [], ["14.0.0.0/8"], "ris_error"),
+    ]
+    out = wire.bgp_withdrawals(_bodies(spark, *rows), spark.createDataFrame([(12880, "IR"), (12389, "RU")], "asn long, country string"))
+    return out.select("entity_id", "title", "region_code", F.unix_seconds("event_time").alias("time_s"))
+
+
+@case(
+    "wire_rss",
+    "source_id string, title string, time_s long, latitude double, tags string",
+    [("https://n/1", "Missile & drone attack", 1704110400, 27.0, "source:Paper|fr"), ("https://n/4", "Border talks", 1704110400, 27.0, "source:Paper|fr")],
+)
+def _(spark):
+    feed = """<rss><channel><title>Paper</title>
+<item><title><![CDATA[Missile &amp; drone attack]]></title><link>https://n/1</link><pubDate>Mon, 01 Jan 2024 07:00:00 EST</pubDate></item>
+<item><title>Football coup</title><link>https://n/2</link></item>
+<item><title>Quiet day</title><link>https://n/3</link></item>
+<item><title>BBC: Iran, Iraq and Syria war </title><link>https://n/5</link></item>
+<entry xml:lang="en"><title>Border talks</title><link rel="alternate" href="https://n/4"/><updated>2024-01-01T12:00:00Z</updated></entry></channel></rss>"""
+    rows = spark.createDataFrame([(feed, "Paper", "fr", "ME")], "body string, source_name string, language string, region string")
+    return wire.rss(rows).select("source_id", "title", F.unix_seconds("event_time").alias("time_s"), "latitude", F.array_join("tags", "|").alias("tags"))
+
+
+@case("parsed_times", "id int, time_s long", [(1, 1704110400), (2, 1704110400), (3, 1704110400), (4, 1704110400), (5, None), (6, 1704106800)])
+def _(spark):
+    texts = ["Mon, 01 Jan 2024 12:00:00 GMT", "1 Jan 2024 07:00:00 -0500", "Mon, 1 Jan 2024 04:00 PST", "2024-01-01T12:00:00Z", "yesterday", "2024-01-01T12:00:00+01:00"]
+    d = spark.createDataFrame([*enumerate(texts, 1)], "id int, text string")
+    return d.select("id", F.unix_seconds(wire.parse_time(c("text"))).alias("time_s"))
+
+
+@case("wire_usgs", "source_id string, title string, severity string, region_code string, time_s long, depth string", [("us1", "M6.1 - 10 km S of Oslo", "critical", "western-europe", 1704110400, "9.5"), ("us2", "M2.0 - Unknown", "low", "global", 1704110400, None)])
+def _(spark):
+    quake = lambda i, mag, place, xyz: {"id": i, "properties": {"mag": mag, "place": place, "time": 1704110400000, "type": "earthquake"}, "geometry": {"coordinates": xyz}}
+    body = {"features": [quake("us1", 6.1, "10 km S of Oslo", [10.0, 59.0, 9.5]), quake("us2", 2.0, None, [-30.0, 0.0]), quake("us2", 2.0, None, [-30.0, 0.0]), quake("us3", None, "x", [1.0, 2.0, 3.0])]}
+    out = wire.usgs(_bodies(spark, json.dumps(body)))
+    return out.select("source_id", "title", "severity", "region_code", F.unix_seconds("event_time").alias("time_s"), F.get_json_object("payload", "$.depth").alias("depth"))
+
+
+@case("replayed_lines", "event_id long, title string, tags string", [(1, "a", "x|y"), (2, None, "")])
+def _(spark):
+    d = spark.createDataFrame([(1, "a", ["x", "y"]), (2, None, [])], "event_id long, title string, tags array<string>")
+    lines = wire.exported(d).union(spark.createDataFrame([(None,)], "line string"))
+    return wire.imported(lines, d.schema).select("event_id", "title", F.array_join("tags", "|").alias("tags"))
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CASES[name][0](spark)
 
