@@ -2,16 +2,20 @@
 
 A leaf is a run of words of one paragraph (line), ended by a word whose hash is 0 modulo 8, so an edit
 moves no other leaf's boundary; a longer one is cut by its bytes, so that its length fits. A section is a run of paragraphs, ended likewise by a paragraph's hash.
-A fingerprint is the root in hex, a colon, and one record of 8 bytes a leaf in base64: 48 bits of the
-leaf's hash, 14 of its length in bytes, one each that say a paragraph or a section ends there.
-Paragraph and section nodes follow from the records, so two fingerprints can be compared branch by branch.
+A node is the 128-bit BLAKE2b hash of its bytes (a leaf) or of its children's hashes, each level with its
+own personalisation. A fingerprint is the root in hex, a colon, and one record of 8 bytes a leaf in base64: 48
+bits of the leaf's hash, 14 of its length in bytes, one each that say a paragraph or a section ends there.
+Equal roots stand for equal texts; where they differ, the records tell sections, paragraphs and leaves apart,
+so two fingerprints can be compared branch by branch.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -45,11 +49,31 @@ def cuts(sums: np.ndarray, begin: int, stop: int) -> list[int]:
     return out
 
 
-def leaves(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records of all leaves, and each document's first. A leaf reaches to where the next one starts."""
+def nodes(parts: list[bytes], level: bytes) -> list[bytes]:
+    return [blake2b(x, digest_size=16, person=level).digest() for x in parts]
+
+
+def grouped(digests: list[bytes], ends: list[int]) -> list[bytes]:
+    """The digests joined, up to each of the ends."""
+    out, at = [], 0
+    for e in ends:
+        out.append(b"".join(digests[at:e]))
+        at = e
+    return out
+
+
+def first_bits(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">u8")[::2].astype(np.uint64)
+
+
+def leaves(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Records of all leaves, each document's first, and the documents' roots. A leaf reaches to where the next one starts.
+
+    A text without words has no leaves; its root is that of its white space.
+    """
     starts, ends, first_word = C.word_spans(data, offs)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64), nodes([data[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], b"blank")
     sums = C.prefix_sums(data.astype(np.uint64) + np.uint64(1))
     words = C.span_hash(sums, starts, ends)
     lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
@@ -75,42 +99,33 @@ def leaves(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first_leaf = first_leaf + np.searchsorted(at, first_leaf)
         stop, of_paragraph, ends_doc = np.insert(stop, at, ends), np.insert(of_paragraph, at, False), np.insert(ends_doc, at, False)
         begin = np.insert(begin, at + 1, ends)
-    hashes = C.span_hash(sums, begin, stop)
+    raw = data.tobytes()
+    digests = nodes([raw[i:j] for i, j in zip(begin.tolist(), stop.tolist(), strict=True)], b"leaf")
     p_last = np.flatnonzero(of_paragraph)
-    p_first = np.append(0, p_last[:-1] + 1)
-    paragraphs = C.span_hash(C.prefix_sums(hashes), p_first, p_last + 1)
-    section = np.zeros(len(hashes), bool)
-    section[p_last] = (paragraphs % SECTION_PARAGRAPHS == 0) | ends_doc[p_last]
-    record = (hashes & ~np.uint64(0xFFFF)) | ((stop - begin).astype(np.uint64) << np.uint64(2))
+    paragraphs = nodes(grouped(digests, (p_last + 1).tolist()), b"paragraph")
+    over = (first_bits(paragraphs) % SECTION_PARAGRAPHS == 0) | ends_doc[p_last]
+    sections = nodes(grouped(paragraphs, (np.flatnonzero(over) + 1).tolist()), b"section")
+    section = np.zeros(len(digests), bool)
+    section[p_last] = over
+    tops = grouped(sections, np.searchsorted(np.flatnonzero(section), first_leaf[1:]).tolist())
+    blank = [x or raw[i:j] for x, i, j in zip(tops, offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+    root = [blake2b(x, digest_size=16, person=b"root" if t else b"blank").digest() for x, t in zip(blank, tops, strict=True)]
+    record = (first_bits(digests) & ~np.uint64(0xFFFF)) | ((stop - begin).astype(np.uint64) << np.uint64(2))
     record |= of_paragraph.astype(np.uint64) << np.uint64(1) | section.astype(np.uint64)
-    return record, first_leaf
+    return record, first_leaf, root
 
 
-def roots(record: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of the sections' hashes of the paragraphs' hashes of the leaves of each document."""
-    if not len(record):
-        return np.zeros(len(first) - 1, np.uint64)
+def compose(record: np.ndarray, first: np.ndarray, root: list[bytes]) -> list[str]:
+    """Fingerprints."""
+    raw = record.astype(">u8").tobytes()
+    return [f"{r.hex()}:{base64.b64encode(raw[8 * a : 8 * b]).decode()}" for r, a, b in zip(root, first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
-    def level(values: np.ndarray, over: np.ndarray) -> np.ndarray:
-        last = np.flatnonzero(over)
-        return C.span_hash(C.prefix_sums(values), np.append(0, last[:-1] + 1), last + 1)
 
-    p_over, s_over = record & np.uint64(2) > 0, record & np.uint64(1) > 0
-    sections = level(level(record, p_over), s_over[p_over])
-    at = np.searchsorted(np.flatnonzero(s_over), first)
-    out = C.span_hash(C.prefix_sums(sections), at[:-1], at[1:])
-    out[at[1:] == at[:-1]] = 0
-    return out
-
-
-def compose(record: np.ndarray, first: np.ndarray, data: np.ndarray, offs: np.ndarray) -> list[str]:
-    """Fingerprints. A text without words has no leaves; its root is that of its white space."""
-    root, raw = roots(record, first), record.astype(">u8").tobytes()
-    out = []
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        r = int(root[i]) if b > a else int.from_bytes(hashlib.sha256(data[offs[i] : offs[i + 1]].tobytes()).digest()[:8], "big")
-        out.append(f"{r:016x}:{base64.b64encode(raw[8 * a : 8 * b]).decode()}")
-    return out
+def taken(record: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The records of the documents at the given places, and each one's first."""
+    n = (first[1:] - first[:-1])[at]
+    ends = np.cumsum(n)
+    return record[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())], np.append(0, ends)
 
 
 def likeness(ra: np.ndarray, fa: np.ndarray, rb: np.ndarray, fb: np.ndarray) -> np.ndarray:
@@ -134,6 +149,37 @@ def likeness(ra: np.ndarray, fa: np.ndarray, rb: np.ndarray, fb: np.ndarray) ->
     return np.where(both > 0, np.minimum(1.0, 2 * out_w / np.maximum(both, 1)), 1.0)
 
 
+def changed(xs: list, ys: list, i: int, j: int, k: int, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges in which xs[i:j] and ys[k:m] differ: between equal ends, and between elements that both have once, in the longest order they share."""
+    while i < j and k < m and xs[i] == ys[k]:
+        i, k = i + 1, k + 1
+    while i < j and k < m and xs[j - 1] == ys[m - 1]:
+        j, m = j - 1, m - 1
+    if i == j or k == m:
+        if i < j or k < m:
+            yield i, j, k, m
+        return
+    cx, cy = Counter(xs[i:j]), Counter(ys[k:m])
+    where = {y: t for t, y in enumerate(ys[k:m], k) if cy[y] == 1}
+    once = [(s, where[x]) for s, x in enumerate(xs[i:j], i) if cx[x] == 1 and x in where]
+    # The longest increasing run of places in ys.
+    tails, best, before = [], [], [-1] * len(once)
+    for n, (_, t) in enumerate(once):
+        at = bisect_left(tails, t)
+        before[n] = best[at - 1] if at else -1
+        tails[at:at + 1], best[at:at + 1] = [t], [n]
+    kept, n = [], best[-1] if best else -1
+    while n >= 0:
+        kept.append(once[n])
+        n = before[n]
+    if not kept:
+        yield i, j, k, m
+        return
+    for s, t in [*kept[::-1], (j, m)]:
+        yield from changed(xs, ys, i, s, k, t)
+        i, k = s + 1, t + 1
+
+
 def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """Where fingerprint b differs from a: (first byte, byte after) in a's text, then in b's. Equal roots: nowhere.
 
@@ -141,7 +187,6 @@ def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """
     if a.split(":")[0] == b.split(":")[0]:
         return []
-    import difflib
 
     def tree(x):
         """(hashes, first leaves) of sections, paragraphs and leaves, and the leaves' byte offsets."""
@@ -160,28 +205,26 @@ def differing(a: str, b: str) -> list[tuple[int, int, int, int]]:
     def descend(level, i, j, k, m):
         """What differs between a's leaves i to j and b's leaves k to m, both whole nodes of the level."""
         (ha, fa), (hb, fb) = la[level], lb[level]
-        (i, j), (k, m) = np.searchsorted(fa, (i, j)), np.searchsorted(fb, (k, m))
-        for op, p, q, s, t in difflib.SequenceMatcher(None, ha[i:j], hb[k:m], autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            at = int(fa[i + p]), int(fa[i + q]), int(fb[k + s]), int(fb[k + t])
-            if op == "replace" and level < 2:
+        (i, j), (k, m) = np.searchsorted(fa, (i, j)).tolist(), np.searchsorted(fb, (k, m)).tolist()
+        for p, q, s, t in changed(ha, hb, i, j, k, m):
+            at = int(fa[p]), int(fa[q]), int(fb[s]), int(fb[t])
+            if p < q and s < t and level < 2:
                 descend(level + 1, *at)
             else:
                 out.append((int(oa[at[0]]), int(oa[at[1]]), int(ob[at[2]]), int(ob[at[3]])))
 
     descend(0, 0, len(oa) - 1, 0, len(ob) - 1)
-    return out
+    return out or [(0, int(oa[-1]), 0, int(ob[-1]))]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars (code points) and fingerprint of each whole text (null: empty)."""
+    """doc_id, n_chars (code points) and fingerprint of each whole text (null: empty), a row for each row; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in C.chunks(batches, "text"):
-            record, first = leaves(data, offs)
+            record, first, root = leaves(data, offs)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(points[offs[1:]] - points[offs[:-1]]), pa.array(compose(record, first, data, offs))], names=["doc_id", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(points[offs[1:]] - points[offs[:-1]]), pa.array(compose(record, first, root))], names=["doc_id", "n_chars", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
@@ -222,7 +265,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     Edited: the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, in descending doc_id; after the last comes the first. Null text is empty. Rows that share a
-    doc_id follow one another in the order of their texts. A single document is its own next one.
+    doc_id follow one another in the order of their texts, repeated rows too; rows without doc_id come last. A
+    single document is its own next one. An empty table gives an empty one. Other columns are left out.
     """
     rows = with_next(docs).repartition("part").sortWithinPartitions("part", "ahead", F.col("key").desc(), "text")
     rows = rows.select("part", "doc_id", "text", "ahead")
@@ -230,15 +274,17 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     def out(ids, texts, following):
         sizes = [len(t) for t in texts]
         edited = [t[: n - n // 3] + f[: n // 3] for t, n, f in zip(texts, sizes, following, strict=True)]
-        prints = []
-        for column in (texts, edited, following):
-            data, offs = C.utf8(pa.array(column, pa.large_string()))
-            record, first = leaves(data, offs)
-            prints.append((record, first, data, offs))
-        own, new, nxt = prints
-        a, b = compose(*own), compose(*new)
-        c = compose(*nxt)
-        near_edited, near_next = likeness(*own[:2], *new[:2]), likeness(*own[:2], *nxt[:2])
+        # A document's next one is mostly the one that comes next here.
+        after = [i + 1 < len(texts) and following[i] is texts[i + 1] for i in range(len(texts))]
+        others = [f for f, x in zip(following, after, strict=True) if not x]
+        record, first, root = leaves(*C.utf8(pa.array([*texts, *others], pa.large_string())))
+        more, own = iter(range(len(texts), len(texts) + len(others))), np.arange(len(texts))
+        nxt = np.array([i + 1 if x else next(more) for i, x in enumerate(after)], np.int64)
+        new = leaves(*C.utf8(pa.array(edited, pa.large_string())))
+        every, b = compose(record, first, root), compose(*new)
+        a, c = every[: len(texts)], [every[i] for i in nxt]
+        mine = taken(record, first, own)
+        near_edited, near_next = likeness(*mine, *new[:2]), likeness(*mine, *taken(record, first, nxt))
         near_edited = [1.0 if x == y else float(v) for x, y, v in zip(a, b, near_edited, strict=True)]
         near_next = [1.0 if x == y else float(v) for x, y, v in zip(a, c, near_next, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(edited, pa.string()), pa.array(a), pa.array(b), pa.array(near_edited), pa.array(near_next)], names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
