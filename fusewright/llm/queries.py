@@ -64,8 +64,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.attribute_tokens(docs, [("head", 0.25), ("body", 0.75), ("tail", 1.0)])
+    return tokens.attribute_tokens(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Tokens of whole documents: encoder, offset-mapped attribution (operator 8), best-fit packing (operator 10).
 
-The vocabulary's pre-tokenizer never crosses white space, so a document's ids are those of its
-white-space-free words in turn. Each different word goes through the tokenizers library once per worker
-(a bounded table), which gives the very ids and offsets of encoding the document whole.
+A vocabulary whose pre-tokenizer never crosses white space gives a document the ids of its white-space-free
+words in turn. Each different word then goes through the tokenizers library once per worker (a bounded table),
+which gives the very ids and offsets of encoding the document whole. Whether a vocabulary is of that kind is
+probed when it is loaded; documents of any other are encoded whole, one by one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -47,6 +49,23 @@ class Grown:
         self.n += len(values)
 
 
+#: Texts on which a vocabulary must show that it encodes words apart, and marks at their ends, and A-Z as a-z.
+PROBES = ["one two", "one  two \t three", " lead and trail ", "a\nb\r\nc\x0bd", "The End, said Ann. Then... (no) 1,000.50 e.g. x.", "don't re-do it's_all", "é è ñ ß.", "ab12. a1b2, 77.", "\u00a0x\u2003y", "AbC DEF", ".", ",", "$a. b$, %.", "x." * 40, "long" * 60]
+
+
+def stitches(encoder, text: str) -> bool:
+    """Whether the text's ids and spans, encoded whole, are those of its lower-cased words, a full stop or comma after a letter or digit apart."""
+    whole = encoder.encode(text, add_special_tokens=False)
+    ids, spans = [], []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        own = re.fullmatch(r"(.*[A-Za-z0-9])([.,])", m.group(), re.S)
+        for at, part in ([(m.start(), own[1]), (m.start() + len(own[1]), own[2])] if own else [(m.start(), m.group())]):
+            e = encoder.encode("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in part), add_special_tokens=False)
+            ids += e.ids
+            spans += [(a + at, b + at) for a, b in e.offsets]
+    return whole.ids == ids and whole.offsets == spans
+
+
 class WordTable:
     """Ids, and if asked character spans, of the words met so far, by a 64-bit hash of their bytes."""
 
@@ -54,7 +73,8 @@ class WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(path)
+        encoder = self.encoder = Tokenizer.from_file(path)
+        self.by_words = all(stitches(encoder, x) for x in PROBES)
         self.encode = encoder.encode_batch if spans else encoder.encode_batch_fast
         self.with_spans = spans
         self.clear()
@@ -136,6 +156,8 @@ def encode(data: np.ndarray, offs: np.ndarray, path: str, spans: bool = False):
     if (path, spans) not in _TABLES:
         _TABLES[path, spans] = WordTable(path, spans)
     table = _TABLES[path, spans]
+    if not table.by_words:
+        return encode_whole(data, offs, table.encoder, spans)
     low = data if b"<|" in data.tobytes() else C.lower_ascii(data)
     starts, ends, first_word = C.word_spans(low, offs)
     word = table.lookup(low, starts, ends)
@@ -152,48 +174,74 @@ def encode(data: np.ndarray, offs: np.ndarray, path: str, spans: bool = False):
     return *out, base + both[where, 0], base + both[where, 1]
 
 
-def attribute_tokens(docs: DataFrame, sections: list[tuple[str, float]], path: str | None = None) -> DataFrame:
+def encode_whole(data: np.ndarray, offs: np.ndarray, encoder, spans: bool):
+    """As encode(), each document by the library."""
+    raw = data.tobytes()
+    done = encoder.encode_batch([raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], add_special_tokens=False)
+    first = np.append(0, np.cumsum([len(e.ids) for e in done]))
+    out = np.fromiter(chain.from_iterable(e.ids for e in done), np.uint32, int(first[-1])), first
+    if not spans:
+        return out
+    both = np.array([*chain.from_iterable(e.offsets for e in done)], np.int64).reshape(-1, 2)
+    return *out, both[:, 0], both[:, 1]
+
+
+def lines_of(data: np.ndarray, offs: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's lines, a line feed with the line that it ends: document, start and end in code points of the chunk. An empty text is one line."""
+    feeds = np.flatnonzero(data == 0x0A) + 1
+    starts = np.union1d(feeds, offs[:-1][np.diff(offs) > 0])
+    starts = starts[~np.isin(starts, offs[1:]) | np.isin(starts, offs[:-1][np.diff(offs) > 0])]
+    doc = np.searchsorted(offs, starts, "right") - 1
+    ends = np.append(starts[1:], len(data))
+    empty = np.flatnonzero(np.diff(offs) == 0)
+    doc, starts, ends = np.append(doc, empty), np.append(starts, offs[empty]), np.append(ends, offs[empty])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], points[starts[order]], points[ends[order]]
+
+
+def attribute_tokens(docs: DataFrame, sections: str | None = None, path: str | None = None) -> DataFrame:
     """Tokens of each section of each document: (doc_id, section, start, end, n_tokens, n_crossing, doc_tokens).
 
-    sections: names with the share of the document's code points at which each ends, the last 1.0. The
-    document is encoded once, whole; each token's character span is joined to the sections' intervals.
-    A token that crosses a boundary belongs to the section with most of its characters, on a tie to the
-    earlier one; n_crossing counts those a section got. Null and empty texts give sections without tokens.
-    Repeated rows are counted each on its own.
+    sections: a column array<struct<section: string, start: int, end: int>> of code points, in order and
+    without overlaps; none: the document's lines, named "0", "1", ... The document is encoded once, whole;
+    each token's character span is joined to the sections' intervals. A token that crosses a boundary belongs
+    to the section with most of its characters, on a tie to the earlier one; n_crossing counts those a section
+    got. A token outside of all sections counts in doc_tokens only. Sections are cut at the text's end. A
+    null or empty text is one line without tokens; a null array has no sections. Repeated rows are counted
+    each on its own; an empty table gives an empty one; other columns are left out.
     """
     path = path or vocabulary_path()
-    names = [n for n, _ in sections]
-    shares = np.array([s for _, s in sections])
     schema = pa.schema([("doc_id", pa.int64()), ("section", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), ("doc_tokens", pa.int64())])
 
+    def given(part: pa.RecordBatch, base: np.ndarray, size: np.ndarray):
+        rows = [(i, x["section"], x["start"], x["end"]) for i, own in enumerate(part.column("sections_").to_pylist()) for x in own or ()]
+        doc = np.array([r[0] for r in rows], np.int64)
+        start, end = (np.clip(np.array([r[k] for r in rows], np.int64), 0, size[doc]) for k in (2, 3))
+        return doc, base[doc] + start, base[doc] + np.maximum(start, end), [r[1] for r in rows]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(names)
         for part, data, offs in C.chunks(batches, "text"):
             _, first, a, b = encode(data, offs, path, spans=True)
             points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            size = points[offs[1:]] - points[offs[:-1]]
-            n = len(size)
-            ends = np.floor(size[:, None] * shares[None, :] + 1e-9).astype(np.int64)
-            ends[:, -1] = size
-            doc = np.repeat(np.arange(n), np.diff(first))
-            b = np.maximum(b, a + 1)
-            # The interval of a token's first and of its last character.
-            lo = (ends[doc] <= a[:, None]).sum(1)
-            hi = (ends[doc] <= (b - 1)[:, None]).sum(1)
-            pick = lo.copy()
-            cross = np.flatnonzero(hi > lo)
+            base = points[offs[:-1]]
+            if sections:
+                doc, s, e, names = given(part, base, points[offs[1:]] - base)
+            else:
+                doc, s, e = lines_of(data, offs, points)
+                names = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(str).tolist()
+            at = base[np.repeat(np.arange(len(base)), np.diff(first))]
+            a, b = at + a, at + np.maximum(b, a + 1)
+            # The first section that ends after a token's start, and the last that starts before its end.
+            pick, last = np.searchsorted(e, a, "right"), np.searchsorted(s, b, "left") - 1
+            inside, cross = last >= pick, np.flatnonzero(last > pick)
             for t in cross.tolist():
-                e = ends[doc[t]]
-                edges = [a[t], *e[lo[t] : hi[t]], b[t]]
-                pick[t] = lo[t] + int(np.argmax(np.diff(edges)))
-            flat = doc * k + pick
-            tokens = np.bincount(flat, minlength=n * k)
-            crossing = np.bincount(flat[cross], minlength=n * k)
-            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), k) if not part.column("doc_id").null_count else part.column("doc_id").take(pa.array(np.repeat(np.arange(n), k)))
-            starts = np.concatenate([np.zeros((n, 1), np.int64), ends[:, :-1]], 1)
-            yield C.batch(schema, pa.array(ids, pa.int64()) if not isinstance(ids, pa.Array) else ids, pa.array(names * n, pa.string()), starts.ravel(), ends.ravel(), tokens, crossing, np.repeat(np.diff(first), k))
+                over = np.minimum(e[pick[t] : last[t] + 1], b[t]) - np.maximum(s[pick[t] : last[t] + 1], a[t])
+                pick[t] += int(np.argmax(over))
+            tokens, crossing = np.bincount(pick[inside], minlength=len(s)), np.bincount(pick[cross], minlength=len(s))
+            yield C.batch(schema, part.column("doc_id").take(pa.array(doc)), pa.array(names, pa.string()), s - base[doc], e - base[doc], tokens, crossing, np.diff(first)[doc])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, section string, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+    own = [F.col(f"`{sections}`").alias("sections_")] if sections else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(run, "doc_id long, section string, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int32()), ("ids", pa.binary())])
@@ -272,7 +320,8 @@ def pack(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int
     The histogram of piece lengths is planned on the driver (at most `size` counts); each piece then takes
     the slot of its rank within its length. The ranks come from counts by (length, salt), so a length that
     very many pieces have is no single task's. Null text is an empty document: its end id alone. Repeated
-    rows are packed each on its own. Rows of equal rank order are told apart by their salt and crc.
+    rows are packed each on its own. An empty table gives an empty one; other columns are left out. What is
+    broadcast are the counts before each salt: at most size * salts rows of three numbers, 8 MB as it is set.
     """
     path = path or vocabulary_path()
     pieces = C.materialize(pieces_of(docs, size, path, end_id, with_ids, salts), "pieces")
