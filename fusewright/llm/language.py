@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, block:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in C.chunks(batches, "text", rows=512):
-            counts = np.minimum(trigram_counts(data, offs), 65535).astype("<u2")
+            counts = trigram_counts(data, offs).astype("<u4")
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("block"), part.column("dice"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "block", "dice", "counts"])
 
     sample = picked.mapInArrow(counted, "lang string, block int, dice long, counts binary")
@@ -127,7 +127,7 @@ def fit(labelled: DataFrame, clusters: int = 4, per_language: int = 400, block:
         got = sorted(sample.where(F.col("block") == i).collect(), key=lambda r: (r["lang"], r["dice"], r["counts"]))
         langs = np.array([r["lang"] for r in got], object)
         keep = [j for x in blocks[i] for j in np.flatnonzero(langs == x)[:per_language]]
-        counts = np.stack([np.frombuffer(bytes(got[j]["counts"]), "<u2") for j in keep]) if keep else np.zeros((0, DIMS), "<u2")
+        counts = np.stack([np.frombuffer(bytes(got[j]["counts"]), "<u4") for j in keep]) if keep else np.zeros((0, DIMS), "<u4")
         return langs[keep], counts
 
     n, df, held = 0, np.zeros(DIMS), None
@@ -166,8 +166,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of docs plus lang_pred, score (the cosine, 0 to 1) and rejected.
 
     lang_pred is `und`, score 0 and rejected true where the text is null or has no letter, or no model
-    was learned. Only the text is looked at. Other columns pass unchanged; columns with the new names
-    are replaced.
+    was learned. Only the text is looked at, so repeated rows get the same; an empty table gives an empty
+    one. Other columns pass unchanged; columns with the new names are replaced.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
