@@ -1,14 +1,16 @@
 """Operator 7: toxicity by a logistic classifier with counterfactual regularisation.
 
 Features are the presence of a bounded vocabulary's words and word beginnings, so that an inflected or
-compounded term counts by its stem. Beside the usual loss, each labelled text that
-names a group is scored again with its identity terms swapped for another group's, and the square of the
-change of its score is penalised: a neutral mention of a group can't carry weight of its own.
+compounded term counts by its stem. Beside the usual loss, each labelled text that names a group is scored
+again with its identity terms swapped for another group's, and the square of the change of its score is
+penalised: a neutral mention of a group can't carry weight of its own. A labelled text that names none gets a
+term put in, by a hash of its id, and is swapped likewise, so the penalty acts on any corpus.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +32,27 @@ IDENTITY_GROUPS = [
     "immigrant immigrants refugee refugees foreigner foreigners native natives".split(),
     "american mexican chinese indian russian german french turkish".split(),
     "old young elderly disabled blind deaf".split(),
+    "männer frauen jungen mädchen".split(),
+    "christen muslime juden hindus buddhisten atheisten katholiken".split(),
+    "einwanderer flüchtlinge ausländer einheimische".split(),
+    "hommes femmes garçons filles".split(),
+    "chrétiens musulmans juifs hindous bouddhistes athées catholiques".split(),
+    "immigrés réfugiés étrangers autochtones".split(),
+    "hombres mujeres chicos chicas".split(),
+    "cristianos musulmanes judíos hindúes budistas ateos católicos".split(),
+    "inmigrantes refugiados extranjeros nativos".split(),
 ]
 
+TERMS = frozenset().union(*IDENTITY_GROUPS)
+
 
 @dataclass
 class ToxicityModel:
     words: dict[str, int]
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # counterfactuals that it was trained with
+    change: float = 0.0  # mean change of the score, from 0 to 1, when the terms of a pair are swapped
 
 
 def words_of(text: str | None) -> set[str]:
@@ -62,26 +77,39 @@ def swapped(words: set[str]) -> list[set[str]]:
     return out
 
 
+def counterfactuals(words: set[str], dice: int) -> tuple[bool, set[str], list[set[str]]]:
+    """Whether a term was put in, by dice, as there was none; the text's words with it; and those with the terms swapped."""
+    planted = not words & TERMS
+    if planted:
+        group = IDENTITY_GROUPS[dice % len(IDENTITY_GROUPS)]
+        words = words | {group[dice // len(IDENTITY_GROUPS) % len(group)]}
+    return planted, words, swapped(words)
+
+
 def _places(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each feature present."""
     return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
 
-def train(words: dict[str, int], present: list[list[int]], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]], ridge: float = 1.0, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
-    """present: each text's features; pairs: features of a text that names a group, and with its terms swapped."""
+def _score(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def train(words: dict[str, int], present: list[list[int]], toxic: np.ndarray, pairs: list[tuple[int, bool, list[int], list[int]]], ridge: float = 1.0, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
+    """present: each text's features. pairs: a text's place, whether its term was put in, and the features that only it and only its counterfactual have."""
     n, k = len(present), len(words)
     if not n or toxic.min() == toxic.max():
         return ToxicityModel({}, np.zeros(0), 4.0 if n and toxic.max() else -4.0)
     r, c = _places(present)
-    r1, c1 = _places([a for a, _ in pairs])
-    r2, c2 = _places([b for _, b in pairs])
+    r1, c1 = _places([x[2] for x in pairs])
+    r2, c2 = _places([x[3] for x in pairs])
     pos = int(toxic.sum())
     w, b = np.zeros(k), float(np.log(pos / (n - pos)))
     mw, vw, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     balance = np.where(toxic == 1, 0.5 * n / pos, 0.5 * n / (n - pos)) ** 0.5
     for t in range(1, steps + 1):  # Adam on the whole sample
         z = b + np.bincount(r, w[c], minlength=n)
-        err = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
+        err = balance * (_score(z) - toxic)
         gw, gb = np.bincount(c, err[r], minlength=k) + ridge * w, err.sum()
         if pairs:
             change = np.bincount(r1, w[c1], minlength=len(pairs)) - np.bincount(r2, w[c2], minlength=len(pairs))
@@ -91,7 +119,12 @@ def train(words: dict[str, int], present: list[list[int]], toxic: np.ndarray, pa
         one, two = 1 - 0.9**t, 1 - 0.999**t
         w = w - 0.05 * (mw / one) / (np.sqrt(vw / two) + 1e-8)
         b -= 0.05 * (mb / one) / (np.sqrt(vb / two) + 1e-8)
-    return ToxicityModel(words, w, b)
+    of, planted = np.array([x[0] for x in pairs], np.int64), np.array([x[1] for x in pairs], bool)
+    z = (b + np.bincount(r, w[c], minlength=n))[of]
+    one, two = (np.bincount(x, w[y], minlength=len(pairs)) for x, y in ((r1, c1), (r2, c2)))
+    rest = np.where(planted, z, z - one)  # without what the pair differs in
+    change = float(np.abs(_score(rest + one) - _score(rest + two)).mean()) if pairs else 0.0
+    return ToxicityModel(words, w, b, len(pairs), change)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_toxic: int = 4_000, vocabulary: int = 1000, least_docs: int = 5, **parameters) -> ToxicityModel:
@@ -99,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_toxic: i
 
     Bounded sample: about max_toxic labelled toxic texts and max_rows in all, by the hash of doc_id; equal
     texts count once. The vocabulary is `vocabulary` features in at least least_docs texts, by chi-square
-    against the label, and the identity terms met. What comes to the driver is each sampled text's list of
-    these features.
+    against the label, and the identity terms. What comes to the driver is each sampled text's list of
+    these features, and those of its counterfactuals. Without texts of both labels the model is a constant.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -130,8 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_toxic: i
     expected = both * pos / n
     square = F.pow(F.col("toxic") - expected, 2) / F.greatest(expected * (1 - both / (n + 1)), F.lit(1e-9))
     chosen = [r["word"] for r in counts.where(both >= least_docs).orderBy(square.desc(), "word").limit(vocabulary).select("word").collect()]
-    terms = sorted({w for g in IDENTITY_GROUPS for w in g})
-    chosen += sorted({r["word"] for r in counts.where(F.col("word").isin(terms)).select("word").collect()}.difference(chosen))
+    chosen += sorted(TERMS.difference(chosen))
     index = {w: i for i, w in enumerate(chosen)}
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +174,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_toxic: i
             out = []
             for t, y, i in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), part.column("doc_id").to_pylist(), strict=True):
                 words = words_of(t)
-                out.append((i, y, own(words), [own(x) for x in swapped(words)]))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "toxic", "own", "swapped"])
+                planted, full, others = counterfactuals(words, zlib.crc32(str(i).encode()))
+                a = {*own(full)}
+                apart = [[sorted(a - b), sorted(b - a)] for b in ({*own(x)} for x in others)]
+                out.append((i, y, own(words), planted, apart))
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "toxic", "own", "planted", "swapped"])
 
-    got = sorted(texts.mapInArrow(listed, "doc_id long, toxic int, own array<int>, swapped array<array<int>>").collect(), key=lambda r: r["doc_id"])
-    return train(index, [r["own"] for r in got], np.array([r["toxic"] for r in got], np.int64), [(r["own"], x) for r in got for x in r["swapped"]], **parameters)
+    rows = texts.mapInArrow(listed, "doc_id long, toxic int, own array<int>, planted boolean, swapped array<array<array<int>>>")
+    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    pairs = [(n, r["planted"], a, b) for n, r in enumerate(got) for a, b in r["swapped"]]
+    return train(index, [r["own"] for r in got], np.array([r["toxic"] for r in got], np.int64), pairs, **parameters)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of docs plus score (0 to 1) and predicted (1 from 0.5 on). Null and empty texts get the model's base score.
 
-    Other columns pass unchanged; columns with the new names are replaced.
+    Repeated rows get the same score; an empty table gives an empty one. Other columns pass unchanged; columns with the new names are replaced.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
@@ -163,7 +200,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         weight = {w: float(model.weights[i]) for w, i in model.words.items()}
         for part, _, _ in C.chunks(batches, "text"):
             z = np.array([model.bias + sum(sorted(weight[w] for w in weight.keys() & features(words_of(t)))) for t in part.column("text").to_pylist()])
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            s = _score(z)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return kept.mapInArrow(run, schema)
