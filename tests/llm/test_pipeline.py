@@ -133,7 +133,7 @@ def test_hard_rows(spark, hard, learned, name):
         "suffixes": lambda d: suffixes.suffix_dedup(d),
         "jaccard": lambda d: jaccard.jaccard_components(d, 4, 85),
         "fingerprint": lambda d: fingerprint.compare_edits(d),
-        "token_counts": lambda d: tokens.attribute_tokens(d, [("all", 1.0)]),
+        "token_counts": lambda d: tokens.attribute_tokens(d),
         "pack": lambda d: tokens.pack(d),
     }[name]
     got = {r.doc_id for r in run(hard).collect()}
