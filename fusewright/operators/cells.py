@@ -85,6 +85,11 @@ def graph_neighborhood(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataF
     return seen.where("hops > 0").select("id", "hops", F.round(F.pow(F.lit(0.5), c("hops")), 6).alias("impact"))
 
 
+def json_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose properties have the key k, and its value as text."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k")).where("k is not null")
+
+
 #: What is counted of each user's events, for the life of a situation.
 _COUNTED = """SELECT entity_id, CAST(CAST(entity_id AS BIGINT) % 6 AS INT) AS phase_no, max(severity_rank) AS severity_rank, count(DISTINCT source_type) AS diversity, count(*) AS events,
 count(CASE WHEN t >= 1706486400 - 86400 AND t < 1706486400 THEN 1 END) AS velocity, count(*) / CAST(30 AS DOUBLE) AS peak, (1706486400 - max(t)) / CAST(3600 AS DOUBLE) AS idle,
@@ -137,7 +142,7 @@ def decayed_peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("source_type", "b", "rate", F.round("peak", 6).alias("peak"))
 
 
-FRAMES = {f.__name__: f for f in (velocity_5m_30m, tempo, incident_suppression, near_pairs_bbox, near_pairs_haversine, conflict_thermal_like, graph_neighborhood, gap_tolerance, phase_transition, cluster_severity, region_from_coords, decayed_peak_rate)}
+FRAMES = {f.__name__: f for f in (velocity_5m_30m, tempo, incident_suppression, near_pairs_bbox, near_pairs_haversine, conflict_thermal_like, graph_neighborhood, gap_tolerance, phase_transition, cluster_severity, region_from_coords, decayed_peak_rate, json_key_exists)}
 
 _TOLERANCE = """CASE WHEN diversity <= 1 THEN least(CASE severity_rank WHEN 4 THEN 12e0 WHEN 3 THEN 8e0 WHEN 2 THEN 4e0 ELSE 2e0 END, 6e0) ELSE least(24e0, CASE severity_rank WHEN 4 THEN 12e0 WHEN 3 THEN 8e0 WHEN 2 THEN 4e0 ELSE 2e0 END
  * (1 + 0.5e0 * least(3e0, greatest(0e0, peak * power(0.5e0, floor(idle * 60) / 30e0) / 5))) * (1 + 0.3e0 * (least(2e0, greatest(1e0, diversity / 2e0)) - 1))) END"""
@@ -161,6 +166,7 @@ WHEN lat BETWEEN 35 AND 72 AND lon BETWEEN -12 AND 22 THEN 'western-europe' WHEN
 WHEN lat BETWEEN 5 AND 38 AND lon BETWEEN 60 AND 100 THEN 'south-asia' WHEN lat BETWEEN -35 AND 37 AND lon BETWEEN -18 AND 52 AND lat < 12 THEN 'africa' WHEN lat BETWEEN 15 AND 37 AND lon BETWEEN -18 AND 25 THEN 'north-africa'
 WHEN lat BETWEEN 15 AND 85 AND lon BETWEEN -170 AND -52 THEN 'north-america' WHEN lat BETWEEN -56 AND 15 AND lon BETWEEN -82 AND -34 THEN 'south-america' WHEN lat BETWEEN 7 AND 23 AND lon BETWEEN -92 AND -59 THEN 'central-america'
 WHEN lat BETWEEN -50 AND 0 AND lon BETWEEN 110 AND 180 THEN 'oceania' WHEN lat BETWEEN 35 AND 55 AND lon BETWEEN 50 AND 90 THEN 'central-asia' WHEN lat >= 65 THEN 'arctic' ELSE 'global' END AS region_name FROM ev""",
+    "json_key_exists": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events} WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "decayed_peak_rate": """WITH EV, r AS (SELECT source_type, CAST(floor(t / 600) AS BIGINT) AS b, CAST(count(*) AS DOUBLE) AS rate FROM ev GROUP BY 1, 2)
 SELECT x.source_type, x.b, x.rate, round(max(y.rate * power(0.5e0, (x.b - y.b) / 3e0)), 6) AS peak FROM r x JOIN r y ON x.source_type = y.source_type AND y.b <= x.b GROUP BY x.source_type, x.b, x.rate""",
 }

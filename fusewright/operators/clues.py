@@ -1,4 +1,4 @@
-"""Clues read from titles, tags and payloads, severity of clusters, and entity resolution as queries."""
+"""Clues read from titles, tags and payloads, and entity resolution as queries."""
 
 from __future__ import annotations
 
@@ -13,9 +13,6 @@ _TITLE = "CASE event_id % 6 WHEN 0 THEN 'Drone ' || event_type || ' seen' WHEN 1
 _CODE = "CASE event_id % 4 WHEN 0 THEN substr(event_type, 1, 2) WHEN 1 THEN event_type END"
 _Q = "'EGTT/QWELW/IV/BO/W/000/100/' || lpad(CAST(user_id % 90 AS STRING), 2, '0') || CASE event_id % 3 WHEN 0 THEN '30N00027W025' WHEN 1 THEN '305S012307E' ELSE 'x' END"
 
-# The six-arm decision list's thresholds.
-CRITICAL_EVENTS, HIGH_EVENTS, MEDIUM_EVENTS, CRITICAL_SOURCES, MEDIUM_SOURCES = 50, 20, 10, 3, 2
-
 
 def qline_place(q: str) -> tuple[str, str]:
     """Latitude and longitude of a notice's last slash-separated field: DDMM[d]N DDDMM[d]E; none: null."""
@@ -44,16 +41,6 @@ QUERIES = {
     "strike_words": f"SELECT event_id, {L.any_of('title', L.STRIKE_WORDS)} OR {L.any_of('event_type', L.STRIKE_WORDS)} AS is_strike FROM (SELECT event_id, event_type, {_TITLE} AS title FROM {{events}}) AS x",
     "country_from_payload_or_title": f"SELECT event_id, {country_of(['code', 'other'], 'title')} AS country FROM (SELECT event_id, {_CODE} AS code, CASE WHEN event_id % 9 = 0 THEN 'ZZ' END AS other, {_TITLE} AS title FROM {{events}}) AS x",
     "qline_coordinates": f"SELECT event_id, round({_LAT}, 6) AS lat, round({_LON}, 6) AS lon FROM (SELECT event_id, {_Q} AS q FROM {{events}}) AS x",
-    # Severity from scratch by a decision list; disasters and children capped at high, old clusters at medium.
-    "cluster_severity": f"""WITH EV, c AS (SELECT entity_id, count(*) AS n, max(t) AS last_t, count(DISTINCT source_type) AS kinds, max(CASE WHEN source_type = 'error' THEN 1 ELSE 0 END) AS conflict,
-max(CASE WHEN source_type = 'signup' THEN 1 ELSE 0 END) AS cyber, max(CASE WHEN region = 'r1' THEN 1 ELSE 0 END) AS disaster, max(CASE WHEN region IN ('r2', 'r3') THEN 1 ELSE 0 END) AS war,
-CASE WHEN count(*) >= 60 THEN 'active' WHEN count(*) >= 5 THEN 'developing' ELSE 'emerging' END AS phase, max(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS child FROM ev GROUP BY entity_id),
-d AS (SELECT *, CASE WHEN disaster = 1 AND war = 0 THEN 3 ELSE 4 END AS cap, phase IN ('active', 'developing') AS live FROM c),
-s AS (SELECT entity_id, child, last_t, CASE WHEN phase = 'active' AND conflict = 1 AND war = 1 AND n >= {CRITICAL_EVENTS} AND kinds >= {CRITICAL_SOURCES} THEN cap
-WHEN live AND war = 1 AND n >= {HIGH_EVENTS} AND kinds >= least({CRITICAL_SOURCES}, 3) THEN 3 WHEN live AND (cyber = 1 OR disaster = 1) AND kinds >= {MEDIUM_SOURCES} AND n >= {HIGH_EVENTS} THEN 3
-WHEN live AND n >= {CRITICAL_EVENTS} AND kinds >= {CRITICAL_SOURCES} THEN 3 WHEN (war = 1 OR cyber = 1 OR disaster = 1) AND kinds >= {MEDIUM_SOURCES} THEN 2
-WHEN kinds >= {CRITICAL_SOURCES} AND n >= {MEDIUM_EVENTS} THEN 2 ELSE 1 END AS rank_ FROM d)
-SELECT entity_id, CASE least(rank_, CASE WHEN child = 1 THEN 3 ELSE 4 END, CASE WHEN AS_OF - last_t >= 176400 THEN 2 ELSE 4 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM s""",
 }
 
 

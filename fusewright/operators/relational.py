@@ -71,10 +71,7 @@ ORDER BY t DESC, event_id LIMIT 100""",
     "events_geo_bbox": """WITH EV SELECT event_id, t, lat, lon, severity FROM ev WHERE lat > -30 AND lat < 60 AND lon > -20 AND lon < 120 AND severity IN ('high', 'medium') AND source_type IN ('error', 'purchase', 'view')
 ORDER BY t DESC, event_id LIMIT 300""",
     "replay_scan": "WITH EV SELECT event_id, t, source_type FROM ev WHERE t >= AS_OF - 864000 AND t < AS_OF - 432000 AND source_type NOT IN ('view', 'signup') ORDER BY t, event_id LIMIT 5000",
-    "important_events": "WITH EV SELECT event_id FROM ev WHERE severity_rank >= 3 OR (source_type = 'purchase' AND value > 90) OR source_type IN ('signup')",
-    "routine_events": "WITH EV SELECT event_id FROM ev WHERE source_type IN ('click', 'view') AND severity_rank < 3 AND confidence < 0.5",
     "position_trail": "WITH EV SELECT event_id, t, lat, lon FROM ev WHERE entity_id = '3' AND t > AS_OF - 604800 ORDER BY t DESC, event_id LIMIT 500",
-    "json_key_exists": """SELECT event_id, get_json_object_ AS k FROM (SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS STRING) AS get_json_object_ FROM {events}) x WHERE get_json_object_ <> ''""",
     # Latest, first and ranked rows
     "latest_position": """WITH EV, r AS (SELECT *, row_number() OVER (PARTITION BY source_type, entity_id ORDER BY t DESC, event_id DESC) AS k FROM ev)
 SELECT source_type, entity_id, event_id, t AS last_seen, lat, lon FROM r WHERE k = 1""",
@@ -122,28 +119,18 @@ SELECT a.event_id AS trigger_id, CAST(count(*) AS BIGINT) AS evidence FROM a JOI
 w AS (SELECT *, avg(n) OVER w AS mu, stddev_pop(n) OVER w AS sd, count(*) OVER w AS k FROM h WINDOW w AS (PARTITION BY cy, cx ORDER BY b ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))
 SELECT cy, cx, b, CAST(n AS BIGINT) AS n, round((n - mu) / greatest(sd, CAST(0.1 AS DOUBLE)), 6) AS z FROM w WHERE k >= 12 AND n > mu + 2 * sd""",
     "incident_suppression": """WITH EV, h AS (SELECT *, t - lag(t) OVER (PARTITION BY source_type, region ORDER BY t, event_id) AS gap FROM ev WHERE severity_rank >= 3) SELECT event_id, source_type, region FROM h WHERE gap IS NULL OR gap > 3600""",
-    "keyword_alerts": """WITH EV, rules AS (SELECT * FROM (VALUES (1, 2, 'r1', 'error'), (2, 0, NULL, 'purchase'), (3, 1, 'r3', NULL)) AS v(rule_id, least_rank, in_region, of_type))
-SELECT rule_id, event_id FROM ev JOIN rules ON severity_rank >= least_rank AND (in_region IS NULL OR region = in_region) AND (of_type IS NULL OR source_type = of_type)""",
     # Scores
     "certainty": """WITH EV, g AS (SELECT region, count(DISTINCT source_type) AS s, count(*) AS n, count(DISTINCT entity_id) AS e FROM ev GROUP BY region)
 SELECT region, round(least(CAST(1 AS DOUBLE), 0.1 + 0.4 / (1 + exp(-1.5 * (s - 2))) + 0.3 / (1 + exp(-0.3 * (n - 10))) + 0.15 * (1 - exp(-0.5 * e))), 6) AS certainty FROM g""",
     "size_penalty": "WITH EV SELECT entity_id, CAST(round(-ln(1 + count(*) / CAST(50 AS DOUBLE))) AS BIGINT) AS penalty FROM ev GROUP BY entity_id",
     "temporal_decay": "WITH EV SELECT event_id, round(value * exp(-0.693 / 24 * greatest(CAST(0 AS DOUBLE), (AS_OF - t) / CAST(3600 AS DOUBLE) - 6)), 6) AS score FROM ev WHERE t < AS_OF",
-    "gap_tolerance": """WITH EV, g AS (SELECT entity_id, max(severity_rank) AS s, count(*) / CAST(30 AS DOUBLE) AS peak, count(DISTINCT source_type) AS d FROM ev GROUP BY entity_id),
-b AS (SELECT *, CASE s WHEN 3 THEN CAST(12 AS DOUBLE) WHEN 2 THEN 8 WHEN 1 THEN 6 ELSE 4 END AS base FROM g)
-SELECT entity_id, round(CASE WHEN d <= 1 THEN least(base, 6) ELSE least(CAST(24 AS DOUBLE), base * (1 + 0.5 * least(greatest(peak / 5, 0), 3)) * (1 + 0.3 * (least(greatest(d / CAST(2 AS DOUBLE), 1), 2) - 1))) END, 6) AS hours FROM b""",
     "severity_rank_max": "WITH EV SELECT region, CASE max(severity_rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity FROM ev GROUP BY region",
-    "region_from_coords": """WITH EV SELECT event_id, CASE WHEN lat BETWEEN 12 AND 42 AND lon BETWEEN 25 AND 63 THEN 'middle-east' WHEN lat BETWEEN 44 AND 70 AND lon BETWEEN 22 AND 60 THEN 'eastern-europe'
-WHEN lat BETWEEN 35 AND 72 AND lon BETWEEN -25 AND 25 THEN 'western-europe' WHEN lat BETWEEN -35 AND 37 AND lon BETWEEN -18 AND 52 THEN 'africa' WHEN lat >= 65 THEN 'arctic' ELSE 'global' END AS region_name FROM ev""",
     "grid_centroid": f"WITH EV SELECT event_id, ({cell('lat')} + 0.5) * 2 AS cell_lat, ({cell('lon')} + 0.5) * 2 AS cell_lon FROM ev".replace("+ 0.5", "+ CAST(0.5 AS DOUBLE)"),
-    "phase_transition": """WITH EV, g AS (SELECT entity_id, count(*) AS n, count(DISTINCT source_type) AS src, max(severity_rank) AS sev, (AS_OF - max(t)) / CAST(3600 AS DOUBLE) AS idle FROM ev WHERE t < AS_OF GROUP BY entity_id)
-SELECT entity_id, CASE WHEN idle > 72 THEN 'historical' WHEN idle > 24 THEN 'resolved' WHEN idle > 12 THEN 'declining' WHEN n >= 50 AND src >= 4 THEN 'active' WHEN n >= 3 AND (src >= 2 OR sev >= 3) THEN 'developing' ELSE 'emerging' END AS phase FROM g""",
     "fallback_grouping": """WITH EV SELECT coalesce(region, 'global') AS region, CASE WHEN source_type = 'error' THEN 'cyber' WHEN source_type = 'purchase' THEN 'market' ELSE 'intelligence' END AS category, min(t) AS first_seen, max(t) AS last_seen,
 CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT source_type) AS BIGINT) AS sources, max(severity_rank) AS rank, round(avg(lat), 6) AS lat FROM ev WHERE t >= AS_OF - 21600 AND t < AS_OF
 GROUP BY coalesce(region, 'global'), CASE WHEN source_type = 'error' THEN 'cyber' WHEN source_type = 'purchase' THEN 'market' ELSE 'intelligence' END HAVING count(*) >= 2""",
     # Graph walks
-    "graph_neighborhood": """WITH RECURSIVE e AS (SELECT 'c' || CAST(c_custkey AS STRING) AS a, 'n' || CAST(c_nationkey AS STRING) AS b FROM {customer} WHERE c_custkey <= 400 UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'g' || CAST(n_regionkey AS STRING) FROM {nation}),
+    "graph_neighborhood": """WITH RECURSIVE e AS (SELECT 'c' || CAST(c_custkey AS STRING) AS a, 'n' || CAST(c_nationkey AS STRING) AS b FROM {customer} UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'g' || CAST(n_regionkey AS STRING) FROM {nation}),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT 'g0' AS id, 0 AS hops UNION ALL SELECT u.b, r.hops + 1 FROM r JOIN u ON u.a = r.id WHERE r.hops < 2)
 SELECT id, min(hops) AS hops, round(power(CAST(0.5 AS DOUBLE), min(hops)), 6) AS impact FROM r WHERE id <> 'g0' GROUP BY id""",
 }
-QUERIES["graph_neighborhood"] = QUERIES["graph_neighborhood"].replace(" WHERE c_custkey <= 400", "")

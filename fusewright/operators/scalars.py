@@ -2,7 +2,6 @@
 
 from fusewright.functions.geo import haversine_km, in_polygon
 
-_ONE = "CAST(1 AS DOUBLE)"
 #: Outer ring, then a hole, as (latitude, longitude).
 ZONE = [[(10, 10), (10, 60), (50, 80), (40, 20)], [(20, 30), (20, 40), (30, 40), (30, 30)]]
 
@@ -21,11 +20,6 @@ SELECT event_id, round(degrees(y2), 6) AS lat, round(degrees(x + atan2(sin(h) *
     # Wait before the next try of a stream and of a poll, by failures so far.
     "backoff_seconds": """SELECT o_custkey, CAST(count(*) AS BIGINT) AS failures, least(10 * power(2, least(count(*), 8)), 1800) * CAST(1 AS DOUBLE) AS stream_wait,
 least(30 * power(2, least(count(*), 4)), 300) * CAST(1 AS DOUBLE) AS poll_wait, count(*) >= 10 AS stream_gives_up, count(*) >= 8 AS poll_gives_up FROM {orders} GROUP BY o_custkey""",
-    # Decayed peak: the highest of earlier rates halved every 30 minutes, and the rate of the bucket itself.
-    "decayed_peak_rate": f"""WITH EV, r AS (SELECT source_type, CAST(floor(t / 86400) AS BIGINT) AS d, CAST(count(*) AS DOUBLE) AS rate FROM ev GROUP BY source_type, CAST(floor(t / 86400) AS BIGINT)),
-p AS (SELECT source_type, d, rate, max(rate * power(2 * {_ONE}, d)) OVER (PARTITION BY source_type ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / power(2 * {_ONE}, d) AS peak
-FROM (SELECT source_type, d - min(d) OVER (PARTITION BY source_type) AS d, rate FROM r) AS z)
-SELECT source_type, d, rate, round(peak, 6) AS peak FROM p""",
     # Hourly timeline of a cluster: running totals at the end of each hour and the highest severity so far.
     "hourly_timeline": """WITH EV, h AS (SELECT entity_id, CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS n, max(severity_rank) AS sev FROM ev GROUP BY entity_id, CAST(floor(t / 3600) AS BIGINT))
 SELECT entity_id, hour, CAST(sum(n) OVER w AS BIGINT) AS event_count, max(sev) OVER w AS severity_rank FROM h WINDOW w AS (PARTITION BY entity_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",

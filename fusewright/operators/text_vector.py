@@ -104,8 +104,9 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard of a part's name's 3-grams and its type's; 0 below three characters."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     p = _part(spark, sf_dir).select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
-    p = p.select("p_partkey", grams(F.col("a")).alias("x"), grams(F.col("b")).alias("y"))
-    return p.select("p_partkey", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("similarity"))
+    p = p.select("p_partkey", "a", "b", grams(F.col("a")).alias("x"), grams(F.col("b")).alias("y"))
+    like = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return p.select("p_partkey", F.round(F.when((F.length("a") < 3) | (F.length("b") < 3), 0.0).otherwise(like), 6).alias("similarity"))
 
 
 def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ SQL = {
     "similar_events_topk": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 20",
     "pairwise_coherence": "SELECT a.label, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 5) AS coherence FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label HAVING count(DISTINCT a.vec_id) >= 4",
     "label_centroids": "WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) SELECT label, CAST(i AS BIGINT) AS i, round(avg(CAST(x AS DOUBLE)), 5) AS x FROM e GROUP BY label, i",
-    "trigram_similarity": "WITH p AS (SELECT p_partkey, list_distinct(list_transform(range(1, greatest(length(p_name) - 2, 1) + 1), lambda i: substr(lower(p_name), i, 3))) AS x, list_distinct(list_transform(range(1, greatest(length(p_type) - 2, 1) + 1), lambda i: substr(lower(p_type), i, 3))) AS y FROM part) SELECT p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM p",
+    "trigram_similarity": "WITH p AS (SELECT p_partkey, list_distinct(list_transform(range(1, greatest(length(p_name) - 2, 1) + 1), lambda i: substr(lower(p_name), i, 3))) AS x, list_distinct(list_transform(range(1, greatest(length(p_type) - 2, 1) + 1), lambda i: substr(lower(p_type), i, 3))) AS y, length(p_name) < 3 OR length(p_type) < 3 AS short FROM part) SELECT p_partkey, CASE WHEN short THEN 0e0 ELSE round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) END AS similarity FROM p",
     "conversation_turns": "WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS title, n AS turns FROM r WHERE k = 1",
 }
 _SPARK_LINE = "WITH EV, n AS (SELECT CAST(floor((t - (AS_OF - 21600)) / 900) AS BIGINT) AS slot, count(*) AS n FROM ev WHERE t >= AS_OF - 21600 AND t < AS_OF GROUP BY ALL) SELECT s.range AS slot, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(24) s LEFT JOIN n ON s.range = n.slot"

@@ -85,7 +85,7 @@ def ivf_index(vectors: DataFrame, lists: int = 16, sample: int = 4096, rounds: i
     return centres, vectors.select("id", "vector").mapInPandas(place, "id long, vector array<double>, cell int")
 
 
-def ivf_search(index: tuple[np.ndarray, DataFrame], target: list[float], limit: int, probes: int = 6) -> DataFrame:
+def ivf_search(index: tuple[np.ndarray, DataFrame], target: list[float], limit: int, probes: int = 11) -> DataFrame:
     """As nearest(), over the `probes` cells whose centres are most like the target."""
     centres, rows = index
     goal = np.asarray(target, float)
