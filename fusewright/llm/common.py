@@ -57,6 +57,32 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python: texts are long, and both sides hold several batches.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; then as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES for the rest of the session: for frames that are written later, by others."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -66,15 +92,8 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not keep and _SCOPES:
         _SCOPES[-1].append(path)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true", _BATCH: str(BATCH_BYTES)}):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
