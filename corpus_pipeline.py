@@ -70,6 +70,7 @@ def _releasing(stage):
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         C.release(spark, _BEFORE)
+        C.small_batches(spark)  # stays set: the stage's rows are written by whoever called it
         with C.scope() as own:
             out = stage(spark, docs, sf_dir)
         _BEFORE.extend(own)
@@ -83,6 +84,7 @@ def _last(stage):
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         C.release(spark, _BEFORE)
+        C.small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
