@@ -191,6 +191,56 @@ def _(spark):
     return d.select("id", notices.written_out(c("text")).alias("text"))
 
 
+@case("wire_shodan", "entity_id string, severity string, region_code string, latitude double, entity_name string", [("1.2.3.4:502", "medium", "middle-east", 35.5, "Org"), ("1.2.3.5:443", "info", None, None, None), ("unknown:80", "medium", None, None, None), ("1.2.3.6:80", "medium", None, None, None)])
+def _(spark):
+    bodies = [
+        '{"ip_str": "1.2.3.4", "port": 502, "org": "Org", "location": {"country_code": "IR", "latitude": 35.5, "longitude": 51.1}}',
+        '{"ip_str": "1.2.3.5", "port": 443, "tags": ["cloud"], "location": {"country_code": "FR"}}',
+        '{"port": 80, "tags": ["ics"]}',
+        '{"ip_str": "1.2.3.6", "port": 80, "vulns": {"CVE-2020-0001": {}}}',
+        "not json",
+    ]
+    return wire.shodan(spark.createDataFrame([(b,) for b in bodies], "body string")).select("entity_id", "severity", "region_code", "latitude", "entity_name")
+
+
+@case(
+    "post_filters",
+    "id int, reason string, severity string",
+    [
+        (1, "repost", "medium"),
+        (2, "negative_keyword", "low"),
+        (3, None, "low"),
+        (4, "image_meme", "low"),
+        (5, "media_consumption", "low"),
+        (6, "meta_commentary", "low"),
+        (7, "personal_content", "low"),
+        (8, None, "low"),
+        (9, "url_only_low_text", "low"),
+        (10, None, "medium"),
+        (11, "short_text", "low"),
+        (12, None, "low"),
+    ],
+)
+def _(spark):
+    long = " It goes on for a while, without a word of any interest to those who read such things."
+    rows = [
+        (1, "Missile launched", True, False, False),
+        (2, "A SALE today" + long, False, False, False),
+        (3, "Wholesale trade figures" + long, False, False, False),  # no word of its own
+        (4, "Look at this", False, False, True),
+        (5, "I watched a film" + long, False, False, False),
+        (6, "Hot take: it rains" + long, False, False, False),
+        (7, "My dog is asleep" + long, False, False, False),
+        (8, "My radar is asleep" + long, False, False, False),
+        (9, "See this https://example.org/a-long-path-of-a-page", False, True, False),
+        (10, "Drone shot down https://example.org/x", False, True, False),
+        (11, "Nothing much here", False, False, False),
+        (12, "Warship in port", False, False, False),
+    ]
+    d = spark.createDataFrame(rows, "id int, text string, repost boolean, link boolean, images boolean")
+    return d.select("id", wire.post_rejection(c("text"), c("repost"), c("link"), c("images")).alias("reason"), wire.post_severity(c("text")).alias("severity"))
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CASES[name][0](spark)
 

@@ -195,6 +195,81 @@ def usgs(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Ports of industrial controls; a post's words that speak against it, and for it.
+CONTROL_PORTS = (102, 502, 789, 1089, 1091, 1911, 2222, 2404, 4840, 4911, 9600, 18245, 20000, 34962, 34964, 44818, 47808, 55553, 55555)
+CHATTER = ["lol", "lmao", "rofl", "happy birthday", "recipe", "good morning", "mornin", "it's friday", "its friday", "podcast", "subscribe", "newsletter", "rant", "imo", "imho", "sale", "discount", "promo", "giveaway", "merch"]
+FIRST_PERSON = ["i ", "my ", "i'm ", "i've ", "i'd ", "i am ", "i was "]
+MEDIA = [
+    "just finished reading", "just finished watching", "currently reading", "listening to", "watched", "just read", "highly recommend", "recommended", "book review", "movie review",
+    "great read", "page turner", "binge",
+]
+OPINION = [
+    "people don't realize", "people dont realize", "everyone should know", "unpopular opinion", "am i the only", "does anyone else", "hot take:", "controversial take",
+    "here's my take", "here is my take", "heres my take",
+]
+ACTIONS = [
+    "struck", "launched", "deployed", "intercepted", "fired", "shelled", "bombed", "targeted", "invaded", "advancing", "retreating", "captured", "seized", "sank", "shot down",
+    "breached", "detected", "confirmed", "reported", "detonated", "exploded", "collapsed",
+]
+SUBJECTS = [
+    "military", "strike", "missile", "drone", "conflict", "attack", "deployed", "intelligence", "sanctions", "nuclear", "cyber", "geolocation", "satellite", "airstrike", "casualt",
+    "weapon", "artillery", "convoy", "intercept", "radar", "warship", "submarine", "fighter", "bomber", "reconnaissance", "sigint", "humint", "geoint", "osint", "ceasefire",
+    "escalat", "deescalat", "mobiliz", "incursion", "blockade", "embargo", "militia", "insurgent", "separatist", "annex",
+]
+
+
+def shodan(rows: DataFrame) -> DataFrame:
+    """Banners of scanned hosts: medium where they have a known weakness, a tag or a port of industrial controls, else for information."""
+    text = lambda p: F.get_json_object("body", p)
+    ip, port = F.coalesce(text("$.ip_str"), F.lit("unknown")), F.coalesce(text("$.port").try_cast("int"), F.lit(0))
+    tags = F.coalesce(F.from_json(text("$.tags"), "array<string>"), F.array().cast("array<string>"))
+    x = rows.where(F.get_json_object("body", "$").isNotNull()).select("body", ip.alias("ip"), port.alias("port"), tags.alias("own_tags"))
+    grave = text("$.vulns").isNotNull() | F.array_contains("own_tags", "ics") | c("port").isin(*CONTROL_PORTS)
+    return _events(
+        x,
+        source_type="shodan",
+        source_id="shodan-stream",
+        latitude=text("$.location.latitude").try_cast("double"),
+        longitude=text("$.location.longitude").try_cast("double"),
+        region_code=R.region_for_country(text("$.location.country_code")),
+        entity_id=F.concat_ws(":", "ip", "port"),
+        entity_name=text("$.org"),
+        event_type="shodan_banner",
+        severity=F.when(grave, "medium").otherwise("info"),
+        tags=c("own_tags"),
+        title=F.concat(F.lit("Shodan banner: "), F.concat_ws(":", "ip", "port")),
+        payload=c("body"),
+    )
+
+
+def post_rejection(text: Column, repost: Column, link: Column, images: Column) -> Column:
+    """Why a post is left out, null where it is taken: a repost, chatter, a picture with little text, media, opinion, one's own life, a bare link, or too short."""
+    words = "|".join(rf"\Q{w}\E" for w in CHATTER)
+
+    def reason(low: Column) -> Column:
+        about = contains_any(low, SUBJECTS)
+        bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"https?://\S*", ""), r"\s+", " "))
+        own = low.rlike(r"^\s*(" + "|".join(FIRST_PERSON) + ")") & ~about
+        size = F.octet_length(low)
+        return (
+            F.when(repost, "repost")
+            .when(low.rlike(rf"(?<![A-Za-z0-9])({words})(?![A-Za-z0-9])"), "negative_keyword")
+            .when(images & (size < 20), "image_meme")
+            .when(contains_any(low, MEDIA), "media_consumption")
+            .when(contains_any(low, OPINION), "meta_commentary")
+            .when(own, "personal_content")
+            .when(link & (F.octet_length(bare) < 40) & ~contains_any(bare, SUBJECTS), "url_only_low_text")
+            .when((size < 80) & ~link & ~about, "short_text")
+        )
+
+    return _bound(F.lower(text), reason)
+
+
+def post_severity(text: Column) -> Column:
+    """medium for a subject that is watched with a word of action, else low."""
+    return _bound(F.lower(text), lambda low: F.when(contains_any(low, ACTIONS) & contains_any(low, SUBJECTS), "medium").otherwise("low"))
+
+
 def exported(events: DataFrame) -> DataFrame:
     """One column (line): an event as a JSON object with sorted keys, for replay; nulls are left out."""
     return events.select(F.to_json(F.struct(*sorted(events.columns))).alias("line"))
