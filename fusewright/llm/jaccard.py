@@ -24,6 +24,8 @@ from fusewright.llm import common as C
 #: Counters of the corpus count, and the blocks in which they are added up. The order of elements depends on
 #: them, the result does not, so their number may be raised for more documents (4 bytes each in a task).
 COUNTERS, BLOCKS = 1 << 22, 64
+#: Sets of one list and group from which the list is dealt to several tasks in the second look.
+LONG = 512
 #: Bits of a set's bitmap. Each element flips one bit, so sets differ in at least as many elements as bitmaps in bits.
 BITS = 1024
 
@@ -183,7 +185,7 @@ def across(percent: int):
     """Second look, with each set's group and bitmap: all pairs of different groups that can link, block by block.
 
     A block is a run of one size in a list, with its least position; blocks whose sizes or least positions
-    rule every pair out are skipped.
+    rule every pair out are skipped. again: rows that stand in another part of the list, too; two such are left to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def across(percent: int):
             mixed = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
             out = []
             for a, b in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
-                size, pos, doc, comp, bit = x["size"][a:b].astype(np.int64), x["pos"][a:b].astype(np.int64), x["doc"][a:b], group[a:b], bits[a:b]
+                size, pos, doc, comp, bit, again = x["size"][a:b].astype(np.int64), x["pos"][a:b].astype(np.int64), x["doc"][a:b], group[a:b], bits[a:b], x["again"][a:b].astype(bool)
                 start = np.flatnonzero(np.append(True, size[1:] != size[:-1]))
                 stop = np.append(start[1:], b - a)
                 s, p = size[start], np.minimum.reduceat(pos, start)
@@ -203,7 +205,7 @@ def across(percent: int):
                     for m in (k + np.flatnonzero(may_link(s[k], p[k], s[k:], p[k:], percent))).tolist():
                         for i in range(start[k], stop[k]):
                             lo = max(i + 1, start[m])
-                            j = lo + np.flatnonzero((comp[lo : stop[m]] != comp[i]) & may_link(size[i], pos[i], size[lo : stop[m]], pos[lo : stop[m]], percent))
+                            j = lo + np.flatnonzero((comp[lo : stop[m]] != comp[i]) & ~(again[i] & again[lo : stop[m]]) & may_link(size[i], pos[i], size[lo : stop[m]], pos[lo : stop[m]], percent))
                             if len(j):
                                 apart = np.bitwise_count(bit[j] ^ bit[i]).sum(1).astype(np.int64)
                                 both = size[i] + size[j]
@@ -216,6 +218,24 @@ def across(percent: int):
     return run
 
 
+def dealt(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of the lists in which sets of different groups meet, with their bitmaps, for across().
+
+    Of a long list the rows of its largest group are dealt to parts of at most about LONG, and the others stand in
+    each part: sets of one group needn't meet, so every pair of different groups still meets once. A group of copies,
+    however large, is thus no task's alone.
+    """
+    mixed = C.materialize(lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("token", "n"), "mixed")
+    each = lists.join(mixed.where(F.col("n") > LONG).select("token"), "token").groupBy("token", "comp").agg(F.count("*").alias("n"))
+    largest = each.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("g")).select("token", F.col("g.comp").alias("major"), F.ceil(F.col("g.n") / LONG).cast("int").alias("parts"))
+    of = mixed.select("token").join(largest, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = lists.join(of, "token").join(bits, ["doc", "size"])
+    in_major = F.col("comp").eqNullSafe(F.col("major"))
+    part = F.when(in_major, F.array(F.pmod(F.xxhash64("doc"), F.col("parts").cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.select("token", "size", "pos", "doc", "comp", "bits", in_major.alias("in_major"), F.explode(part).alias("part"))
+    return rows.select(F.xxhash64("token", "part").alias("token"), "size", "pos", "doc", "comp", "bits", (~F.col("in_major") & (F.col("part") > 0)).cast("int").alias("again"))
+
+
 def id_filter(ids: DataFrame, least: int = 1 << 16, most: int = 1 << 28) -> np.ndarray:
     """A Bloom filter of a column of ids: 16 bits an id, four of them set, never more than `most` bits."""
     bits = least
@@ -350,9 +370,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     groups = components(linked)
     open_lists = found.where("kind = 1").join(groups, found["doc"] == groups["u"], "left").select("token", "size", "pos", "doc", F.coalesce("v", "doc").alias("comp"))
     open_lists = C.materialize(open_lists, "open")
-    mixed = open_lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    bits = classes.select(F.col("rep").alias("doc"), "size", "bits")
-    rest = open_lists.join(mixed, "token", "left_semi").join(bits, ["doc", "size"]).select("token", "size", "pos", "doc", "comp", "bits")
+    rest = dealt(open_lists, classes.select(F.col("rep").alias("doc"), "size", "bits"))
     rest = rest.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(across(percent), "a long, b long")
     rest = C.materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     second = C.materialize(verified(rest, docs, words, percent), "links").where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
