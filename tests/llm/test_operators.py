@@ -118,6 +118,39 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("long", [512, 2])
+def test_jaccard_of_groups_of_copies(spark, monkeypatch, long):
+    """Large groups of near copies, and sets between them, with long lists in parts and whole."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    bases = [rnd.sample(words, 40) for _ in range(3)]
+    bases.append(bases[0][:20] + bases[1][20:])  # half of either: linked with neither
+    texts = []
+    for b in bases:
+        for k in range(14):
+            t = b[:]
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(40)] = f"x{rnd.randrange(5)}"
+            texts.append(" ".join(t[: 40 - k % 3]))
+    texts += [" ".join(bases[0][:12]), " ".join(bases[1][5:25]), "lone words here now and then"]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+
+    sets = [shingles(t) for t in texts]
+    comp = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 70 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(rows, 2, 70).collect()}
+    assert got == dict(enumerate(comp)) and 4 < len({*comp}) < len(comp)
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, BASE[:80]), (2, "One"), (3, None), (4, "absent words here")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.phrase_matches(docs, items).collect()}
