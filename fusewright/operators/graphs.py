@@ -61,6 +61,14 @@ def descendants(tree: DataFrame, root: str, depth: int = 32) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def without_trees(tree: DataFrame, roots: list[str], depth: int = 32) -> DataFrame:
+    """Rows of (id, parent_id, ...) without the given roots and everything under them."""
+    gone = tree.sparkSession.createDataFrame([(r,) for r in roots], "id string")
+    for r in roots:
+        gone = gone.union(descendants(tree.select("id", "parent_id"), r, depth).select("id"))
+    return tree.join(gone.distinct(), "id", "left_anti")
+
+
 def state_changes(mentions: DataFrame, entities: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """(id, change, certainty, previous): mentions (entity, from, to, certainty) of known entities (id, name) with a known change; certainty is alleged where none is given."""
     table = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))

@@ -138,6 +138,25 @@ def score_card(situations: DataFrame, expected: DataFrame, unwanted: DataFrame,
     return out.unionByName(found.select(F.explode(F.array(*each)).alias("x")).select("x.*")) if each else out
 
 
+def replay_metrics(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_no, situations, top_level, events, avg_certainty, high, multi_source) of (snapshot_no, sid, parent_id, event_count, certainty, severity_rank, source_count)."""
+    return snapshots.groupBy("snapshot_no").agg(
+        F.count("*").alias("situations"),
+        F.count_if(c("parent_id").isNull()).alias("top_level"),
+        F.sum("event_count").alias("events"),
+        F.avg("certainty").alias("avg_certainty"),
+        F.count_if(c("severity_rank") >= 3).alias("high"),
+        F.count_if(c("source_count") >= 2).alias("multi_source"),
+    )
+
+
+def compared_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(title, change): titles of two runs' top situations, without case: lost, new or common."""
+    of = lambda x, n: x.where("parent_id is null").select(F.lower("title").alias("title")).distinct().withColumn(n, F.lit(True))
+    both = of(before, "a").join(of(after, "b"), "title", "full")
+    return both.select("title", F.when(c("b").isNull(), "lost").when(c("a").isNull(), "new").otherwise("common").alias("change"))
+
+
 def score_of(card: DataFrame) -> DataFrame:
     """One row (score, passed, total)."""
     kept = F.sum(F.when(c("passed"), c("weight")).otherwise(0.0))

@@ -8,8 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fusewright.functions import countries, notices
-from fusewright.operators import lists
+from fusewright.functions import backoff, countries, notices
+from fusewright.operators import graphs, lists
 from fusewright.operators.worked import expected_sql
 from fusewright.sources import wire
 
@@ -241,6 +241,44 @@ def _(spark):
     return d.select("id", wire.post_rejection(c("text"), c("repost"), c("link"), c("images")).alias("reason"), wire.post_severity(c("text")).alias("severity"))
 
 
+@case("source_waits", "id int, seconds double", [(1, 10.0), (2, 2000.0), (3, 30.0), (4, 337.5), (5, 150.0), (6, 600.0), (7, 2250.0)])
+def _(spark):
+    rows = [(1, "stream", 0, None, 0.0), (2, "stream", 99, None, 4 / 9), (3, "poll", 0, None, 0.0), (4, "poll", 9, None, 0.5), (5, "limited", 3, 60, 0.9), (6, "limited", 30, 60, 0.9), (7, "stream", 8, None, 1.0)]
+    d = spark.createDataFrame(rows, "id int, kind string, failures int, retry long, dice double")
+    return d.select("id", F.round(backoff.wait_seconds(c("kind"), c("failures"), c("retry"), c("dice")), 6).alias("seconds"))
+
+
+@case("retry_headers", "id int, seconds long", [(1, 120), (2, 90), (3, 1), (4, 60), (5, 60), (6, 30), (7, 1)])
+def _(spark):
+    rows = [(1, " 120 ", "1"), (2, "Mon, 01 Jan 2024 12:01:30 GMT", None), (3, "Mon, 01 Jan 2024 11:00:00 GMT", None), (4, "soon", None), (5, None, "soon"), (6, None, "1704110430"), (7, "soon", "1704110000")]
+    d = spark.createDataFrame(rows, "id int, header string, reset string")
+    return d.select("id", backoff.retry_after(c("header"), c("reset"), F.lit(1704110400)).alias("seconds"))
+
+
+@case("trees_removed", "id string", [("x",), ("y",)])
+def _(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("x", None), ("y", "x"), ("p", None), ("q", "p")]
+    return graphs.without_trees(spark.createDataFrame(rows, "id string, parent_id string"), ["a", "p"]).select("id")
+
+
+_SNAPSHOTS = [(0, "a", None, 5, 0.5, 3, 2, "One"), (0, "b", "a", 2, 0.3, 1, 1, "Two"), (1, "a", None, 9, 0.6, 4, 3, "ONE"), (1, "c", None, 1, 0.2, 0, 1, "Three")]
+
+
+def _snapshots(spark):
+    return spark.createDataFrame(_SNAPSHOTS, "snapshot_no int, sid string, parent_id string, event_count long, certainty double, severity_rank int, source_count int, title string")
+
+
+@case("replay_metrics", "snapshot_no int, situations long, top_level long, events long, avg_certainty double, high long, multi_source long", [(0, 2, 1, 7, 0.4, 1, 1), (1, 2, 2, 10, 0.4, 1, 1)])
+def _(spark):
+    return lists.replay_metrics(_snapshots(spark)).withColumn("avg_certainty", F.round("avg_certainty", 9))
+
+
+@case("compared_runs", "title string, change string", [("one", "common"), ("three", "new")])
+def _(spark):
+    x = _snapshots(spark)
+    return lists.compared_runs(x.where("snapshot_no = 0"), x.where("snapshot_no = 1"))
+
+
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return CASES[name][0](spark)
 
