@@ -321,7 +321,7 @@ def pack(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int
     the slot of its rank within its length. The ranks come from counts by (length, salt), so a length that
     very many pieces have is no single task's. Null text is an empty document: its end id alone. Repeated
     rows are packed each on its own. An empty table gives an empty one; other columns are left out. What is
-    broadcast are the counts before each salt: at most size * salts rows of three numbers, some 16 MB as it is set.
+    broadcast are the counts before each salt: at most size * salts rows of three numbers, under 50 MB as it is set.
     """
     path = path or vocabulary_path()
     pieces = C.materialize(pieces_of(docs, size, path, end_id, with_ids, salts), "pieces")
