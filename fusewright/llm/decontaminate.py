@@ -55,8 +55,9 @@ def ranked_terms(postings: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """(window_id, window, items, term, offset, df): each window's words with their counts over the corpus, null where it hasn't the word."""
     windows = C.materialize(windows_of(items, size).withColumn("window_id", F.xxhash64("window")), "windows")
     terms = C.materialize(windows.select(F.explode("window").alias("term")).distinct(), "terms")
-    counts = postings.join(bounded(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return windows.select("window_id", "window", "items", F.posexplode("window").alias("offset", "term")).join(counts, "term", "left")
+    counts = C.materialize(postings.join(bounded(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "counts")
+    # A common word is in many windows: they stay where they are, and the counts come to them.
+    return windows.select("window_id", "window", "items", F.posexplode("window").alias("offset", "term")).join(bounded(counts), "term", "left")
 
 
 def lookups(postings: DataFrame, items: DataFrame, size: int, rarest: int) -> DataFrame:
