@@ -38,7 +38,8 @@ def keyed(docs: DataFrame, parts: int) -> DataFrame:
 
     key_ is doc_id. tie_ is 0, but for rows that share a doc_id with another text the hash of the text: rows
     with one doc_id and different texts are different documents, in the order of that hash, and rows with
-    equal doc_id and text are one. bucket_ follows from both; without a doc_id from the text.
+    equal doc_id and text are one. bucket_ follows from both; rows without a doc_id, on which there are no notes, go
+    round the buckets.
     """
     key, h = F.col("doc_id").cast("long"), F.xxhash64("text")
     each = docs.select(key.alias("key_"), h.alias("h")).where("key_ is not null").groupBy("key_").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
@@ -51,7 +52,7 @@ def keyed(docs: DataFrame, parts: int) -> DataFrame:
     else:
         out = out.withColumn("tie_", F.lit(0).cast("long"))
     spread = F.pmod(F.pmod("key_", F.lit(parts)) + F.pmod("tie_", F.lit(parts)), F.lit(parts))
-    return out.withColumn("bucket_", F.coalesce(spread, F.pmod("h_", F.lit(parts))).cast("int")).drop("h_")
+    return out.withColumn("bucket_", F.coalesce(spread, F.pmod(F.monotonically_increasing_id(), F.lit(parts))).cast("int")).drop("h_")
 
 
 def bucket_of(key: np.ndarray, tie: np.ndarray, parts: int) -> np.ndarray:
