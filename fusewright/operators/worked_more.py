@@ -302,6 +302,21 @@ def _(spark):
     return airspace.annotated(*_sky(spark)).select("event_id", "severity_rank", F.array_join(F.array_sort("tags"), "|").alias("tags"))
 
 
+@case("airspace_zones", "zone_id string, kind string, country string, rings int, first_lat double", [("P1", "prohibited", "XX", 2, 2.0), ("R1", "restricted", "IR", 2, 5.0)])
+def _(spark):
+    ring = lambda x, y: [[x, y], [x + 1, y], [x, y + 1], [x, y]]
+    zone = lambda name, kind, country, shape, xy: {"type": "Feature", "properties": {"designator": name, "name": name, "type": kind, "country": country}, "geometry": {"type": shape, "coordinates": xy}}
+    features = [
+        zone("P1", "PROHIBITED", "XX", "Polygon", [ring(1, 2), ring(1.1, 2.1)]),
+        zone("R1", "restricted", "IR", "MultiPolygon", [[ring(4, 5)], [ring(8, 9)]]),
+        zone("R2", "restricted", "BR", "Polygon", [ring(0, 0)]),
+        zone("W1", "warning", "IR", "Polygon", [ring(0, 0)]),
+        zone("D1", "danger", "IR", "Point", [0, 0]),
+    ]
+    out = airspace.zones_of(_bodies(spark, json.dumps({"type": "FeatureCollection", "features": features}), "not json"))
+    return out.select("zone_id", "kind", "country", F.size("rings").alias("rings"), F.expr("rings[0][0].lat").alias("first_lat"))
+
+
 @case("burst_scores", "topic string, ratio double, anomaly double", [("again", 52.1907, 1.0), ("first", 1.0, 0.0)])
 def _(spark):
     # The second event adds half to the short rate and a hundredth to the long one; what was seen once, at the start, is next to nothing.

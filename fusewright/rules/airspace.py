@@ -68,3 +68,28 @@ def annotated(flights: DataFrame, zones: DataFrame, notices: DataFrame) -> DataF
     x = flights.join(z, "event_id", "left").join(n, "event_id", "left").withColumns({"zones": F.coalesce("zones", none), "notices": F.coalesce("notices", none)})
     tags = F.array_compact(F.array(F.when(c("by_zone") == 3, "airspace-prohibited"), F.when(c("by_zone") == 2, "airspace-restricted"), F.when(F.size("notices") > 0, "notam-active")))
     return x.withColumns({"tags": F.array_union("tags", tags), "severity_rank": F.greatest("severity_rank", F.coalesce("by_zone", F.lit(0)))}).drop("by_zone")
+
+
+#: Countries whose restricted and danger areas are watched.
+WATCHED = "IL PS IR IQ SY LB YE SA AE QA BH OM KW TR UA RU BY KP CN TW MM LY SD SO ET GB FR DE PL GR RO BG FI NO SE LT LV EE".split()
+
+
+def zones_of(rows: DataFrame) -> DataFrame:
+    """(zone_id, name, kind, country, rings) of GeoJSON collections in a column `body`, for in_zones().
+
+    Prohibited areas of any country, restricted and danger areas of those watched; polygons, and multipolygons with the
+    rings of all parts after the first one's, as the index that this follows has them. Points are (longitude, latitude).
+    """
+    features = F.from_json(F.get_json_object("body", "$.features"), "array<string>")
+    x = rows.select(F.explode(features).alias("f"))
+    of = lambda p: F.get_json_object("f", p)
+    ring = "array<array<array<double>>>"
+    single = F.from_json(of("$.geometry.coordinates"), ring)
+    several = F.flatten(F.from_json(of("$.geometry.coordinates"), f"array<{ring}>"))
+    shape = of("$.geometry.type")
+    rings = F.when(shape == "Polygon", single).when(shape == "MultiPolygon", several)
+    points = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon"))))
+    kind = F.lower(of("$.properties.type"))
+    kept = (kind == "prohibited") | (kind.isin("restricted", "danger") & of("$.properties.country").isin(WATCHED))
+    x = x.where(kept).select(of("$.properties.designator").alias("zone_id"), of("$.properties.name").alias("name"), kind.alias("kind"), of("$.properties.country").alias("country"), points.alias("rings"))
+    return x.where(F.size("rings") > 0)
