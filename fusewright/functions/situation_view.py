@@ -45,3 +45,20 @@ def primary_region(codes: Column, title: Column) -> Column:
         hinted = F.when(meets, region) if hinted is None else hinted.when(meets, region)
     rest = F.when(F.size(codes) >= 4, "global").otherwise(F.coalesce(F.get(long, F.lit(0)), F.get(codes, F.lit(0))))
     return F.when(F.size(codes) == 0, "global").when(F.size(long) == 1, F.get(long, F.lit(0))).otherwise(F.coalesce(known, hinted, rest))
+
+
+#: Patterns of the news list's filters.
+NEWS_FILTERS = {
+    "middle_east": "middle.east|israel|palestine|gaza|iran|iraq|syria|yemen|lebanon|houthi|hezbollah|hamas|saudi|jordan|egypt|suez",
+    "ukraine": "ukraine|russia|kyiv|moscow|donbas|crimea|zelensk|putin|kherson|bakhmut|zaporizhzhia|kursk",
+    "cyber": "cyber|hack|breach|malware|ransomware|vulnerability|zero.day|exploit|apt|threat|phishing|ddos|botnet|infosec",
+}
+
+
+def in_news_filter(event_type: Column, payload: Column, name: str) -> Column:
+    """Whether an article belongs to a filter's list, by title, address, region, summary and topics; other filters take all articles."""
+    of = lambda p: F.get_json_object(payload, p)
+    topics = F.array_join(F.from_json(of("$.enrichment.topics"), "array<string>"), " ")
+    parts = (F.coalesce(of("$.enrichment.translated_title"), of("$.title")), of("$.url"), of("$.region"), F.coalesce(of("$.enrichment.summary"), of("$.summary")), topics)
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in parts)))
+    return (event_type == "news_article") & (text.rlike(NEWS_FILTERS[name]) if name in NEWS_FILTERS else F.lit(True))

@@ -317,6 +317,29 @@ def _(spark):
     return out.select("zone_id", "kind", "country", F.size("rings").alias("rings"), F.expr("rings[0][0].lat").alias("first_lat"))
 
 
+@case("news_filters", "id int, middle_east boolean, ukraine boolean, cyber boolean, every boolean", [(1, True, False, True, True), (2, False, True, False, True), (3, False, False, False, True), (4, False, False, False, False), (5, True, False, False, True)])
+def _(spark):
+    rows = [
+        (1, "news_article", '{"title": "Zero-day in use", "region": "Middle East"}'),
+        (2, "news_article", '{"title": "Gaza", "enrichment": {"translated_title": "Talks", "topics": ["kursk"]}}'),
+        (3, "news_article", "{}"),
+        (4, "geo_news", '{"title": "Gaza"}'),
+        (5, "news_article", '{"url": "https://n/iran/1"}'),
+    ]
+    d = spark.createDataFrame(rows, "id int, event_type string, payload string")
+    of = lambda n: situation_view.in_news_filter(c("event_type"), c("payload"), n)
+    return d.select("id", of("middle_east").alias("middle_east"), of("ukraine").alias("ukraine"), of("cyber").alias("cyber"), of("all").alias("every"))
+
+
+@case("wire_bases", "name string, type string, country string, region string, lat double", [("North", "airfield", "XX", "a", 1.00001), ("", "base", "", "a", 2.0), ("Fort", "barracks", "YY", "b", 3.0)])
+def _(spark):
+    element = lambda kind, lat, tags, **more: {"type": kind, "lat": lat, "lon": 5.0, "tags": tags, **more}
+    one = [element("node", 1.000011, {"name:en": "North", "military": "yes", "aeroway": "aerodrome", "country": "XX"}), element("node", 2.0, {}), element("way", 9.0, {"name": "No centre"})]
+    two = [element("node", 1.000009, {"name": "Again"}), element("way", None, {"name": "Fort", "military": "barracks", "addr:country": "YY"}, center={"lat": 3.0, "lon": 5.0})]
+    rows = [(json.dumps({"elements": one}), "a"), (json.dumps({"elements": two}), "b")]
+    return wire.bases(spark.createDataFrame(rows, "body string, region string")).select("name", "type", "country", "region", "lat")
+
+
 @case("burst_scores", "topic string, ratio double, anomaly double", [("again", 52.1907, 1.0), ("first", 1.0, 0.0)])
 def _(spark):
     # The second event adds half to the short rate and a hundredth to the long one; what was seen once, at the start, is next to nothing.

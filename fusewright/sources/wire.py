@@ -283,3 +283,19 @@ def imported(lines: DataFrame, schema) -> DataFrame:
 def without_nul(text: Column) -> Column:
     """Text without NUL characters, as stores take it."""
     return F.replace(text, F.lit("\u0000"), F.lit(""))
+
+
+def bases(rows: DataFrame) -> DataFrame:
+    """(name, type, country, region, operator, lat, lon) of map elements in columns body and region: nodes, and others by their centre; one for each place of five decimals, of the first region by name.
+
+    What is only said to be military is an airfield where it is one for aircraft, else a base.
+    """
+    kind = "array<struct<type:string,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>"
+    x = rows.select("region", F.posexplode(F.from_json(F.get_json_object("body", "$.elements"), kind)).alias("n", "e"))
+    tag = lambda *names: F.coalesce(*(F.element_at("e.tags", F.lit(n)) for n in names), F.lit(""))
+    at = lambda k: F.round(F.when(c("e.type") == "node", c(f"e.{k}")).otherwise(c(f"e.center.{k}")), 5)
+    military = F.coalesce(F.element_at("e.tags", F.lit("military")), F.lit("base"))
+    plane = F.coalesce(F.map_contains_key("e.tags", F.lit("aeroway")), F.lit(False))
+    x = x.select("region", "n", tag("name", "name:en").alias("name"), F.when(military == "yes", F.when(plane, "airfield").otherwise("base")).otherwise(military).alias("type"), tag("addr:country", "country").alias("country"), tag("operator").alias("operator"), at("lat").alias("lat"), at("lon").alias("lon"))
+    first = x.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min(F.struct("region", "n", "name", "type", "country", "operator")).alias("b"))
+    return first.select("b.name", "b.type", "b.country", "b.region", "b.operator", "lat", "lon")
