@@ -1,7 +1,7 @@
 """Operator 2: benchmark passages in documents by a positional inverted index, in DataFrame operations only.
 
 The index holds the postings (term, document, position) of every word of the corpus. It is written once, each
-task its own documents' segment, without a shuffle, and serves counts, phrases and proximity. The benchmark's
+task its own documents' segment, without a shuffle, and serves counts and phrases. The benchmark's
 items are cut into windows of consecutive words. A window's terms are ranked by their counts over the whole
 corpus; the list of its rarest gives the starts, after subtracting the term's offset, and the lists of the next
 rarest must agree on them. What is left is compared word for word, by the hash that names the window. The
@@ -99,9 +99,11 @@ def near_lookups(postings: DataFrame, items: DataFrame, size: int, misses: int)
 
 def near_places(docs: DataFrame, items: DataFrame, slop: int, size: int, misses: int) -> DataFrame:
     """(doc_id, cand_): the stretches of each document in which enough of a window's looked up terms start near each other."""
-    postings = index(docs)
-    found = near_lookups(postings, items, size, misses)
-    hits = postings.join(bounded(found.select("term", "offset", "window_id", "agree", "r")), "term").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "agree", "r")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    found = near_lookups(rows.select("doc_id", F.posexplode(words_of("text")).alias("pos", "term")), items, size, misses)
+    # Texts are dealt once by document, so that the many hits are gathered where they arise; from a stored index they would all travel.
+    dealt = rows.repartition(4 * C.shuffle_partitions(docs.sparkSession), "doc_id")
+    hits = dealt.select("doc_id", F.posexplode(words_of("text")).alias("pos", "term")).join(bounded(found.select("term", "offset", "window_id", "agree", "r")), "term").select("doc_id", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "agree", "r")
     cell = F.floor(F.col("start") / STRETCH).cast("int")
     last = F.floor((F.col("start") + 2 * slop) / STRETCH).cast("int")
     hits = hits.select("doc_id", "window_id", "agree", "start", F.expr("shiftleft(1, r)").alias("bit"), F.explode(F.sequence(cell, last)).alias("cell"))
